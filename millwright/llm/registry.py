@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millwright.llm import html_text, packing, sharding, transport_stream, url_filter
+from millwright.llm import html_text, imatch, packing, sharding, transport_stream, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": html_text.op1_html_text,
     "op3_url_filter": url_filter.op3_url_filter,
     "op6_packing": packing.op6_packing,
     "op7_media_columns": transport_stream.op7_media_columns,
+    "op8_imatch": imatch.op8_imatch,
     "op9_sharding": sharding.op9_sharding,
 }
 
