@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millwright.llm import html_text, imatch, packing, sharding, simhash, transport_stream, url_filter
+from millwright.llm import html_text, imatch, mixing, packing, sharding, simhash, transport_stream, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": html_text.op1_html_text,
@@ -16,8 +16,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_media_columns": transport_stream.op7_media_columns,
     "op8_imatch": imatch.op8_imatch,
     "op9_sharding": sharding.op9_sharding,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 SQL: dict[str, str] = {
     "op3_url_filter": url_filter.OP3_SQL,
+    "op10_mixing": mixing.OP10_SQL,
 }
