@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millwright.llm import html_text, imatch, mixing, packing, sharding, simhash, transport_stream, url_filter
+from millwright.llm import html_text, imatch, mixing, packing, sharding, simhash, toxicity, transport_stream, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": html_text.op1_html_text,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
     "op6_packing": packing.op6_packing,
     "op7_media_columns": transport_stream.op7_media_columns,
