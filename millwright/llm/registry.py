@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millwright.llm import html_text, imatch, mixing, packing, sharding, simhash, toxicity, transport_stream, url_filter
+from millwright.llm import html_text, imatch, mixing, packing, sharding, simhash, token_rollup, toxicity, transport_stream, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": html_text.op1_html_text,
+    "op2_token_rollup": token_rollup.op2_token_rollup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_token_rollup": token_rollup.OP2_SQL,
     "op3_url_filter": url_filter.OP3_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
