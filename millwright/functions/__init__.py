@@ -1,0 +1 @@
+"""Scalar functions as columns; all run inside code generation."""

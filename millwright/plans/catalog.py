@@ -1,4 +1,5 @@
-"""Named queries over the driver's tables, each with the DuckDB SQL for the same rows."""
+"""Named queries over the driver's tables, each with the DuckDB SQL for the same rows where SQL
+can express it."""
 
 from __future__ import annotations
 
@@ -6,5 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millwright.plans import demand
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+for _module in (demand,):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
