@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millwright.plans import demand
+from millwright.plans import demand, supply
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (demand,):
+for _module in (demand, supply):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
