@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millwright.plans import demand, supply
+from millwright.plans import demand, spatial, supply
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (demand, supply):
+for _module in (demand, supply, spatial):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
