@@ -95,4 +95,4 @@ def sql(names: str, body: str, recursive: bool = False) -> str:
     """A query over the named domain tables; `body` may start with more expressions, each
     ended by a comma, before its SELECT."""
     heads = ", ".join(f"{n} AS ({CTE[n]})" for n in names.split())
-    return f"WITH {'RECURSIVE ' if recursive else ''}{heads}{', ' if body.lstrip()[:6].upper() != 'SELECT' else ' '}{body}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{heads}{', ' if heads and body.lstrip()[:6].upper() != 'SELECT' else ' '}{body}"

@@ -213,12 +213,23 @@ _LAYERS = """lay0 AS (SELECT id % 500 AS cell, z, CASE WHEN z - lag(z) OVER (PAR
 lay1 AS (SELECT cell, z, sum(b) OVER (PARTITION BY cell ORDER BY z ROWS UNBOUNDED PRECEDING)::BIGINT AS layer FROM lay0), layers AS (SELECT cell, layer, median(z) AS level, count(*) AS members FROM lay1 GROUP BY 1, 2)"""
 _REACH = """reach AS (SELECT id AS a, id AS b FROM node UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)"""
 
+_REGIONS = """cell AS (SELECT id, r, c, floor(z / 50)::BIGINT AS band FROM terrain), node AS (SELECT id FROM cell),
+link AS (SELECT x.id AS a, y.id AS b FROM cell x JOIN cell y ON x.band = y.band AND (x.r = y.r AND abs(x.c - y.c) = 1 OR x.c = y.c AND abs(x.r - y.r) = 1)),
+""" + _REACH + """, label AS (SELECT a AS id, min(b) AS region FROM reach GROUP BY 1), regions AS (SELECT region, band, r, c FROM cell JOIN label USING (id))"""
+
 SQL = {
     "radius_neighborhoods": sql("socket", _NEAR + " SELECT l_id AS id, count(*) AS n, count(DISTINCT r_item) AS items, round(max(dist), 4) AS reach FROM near WHERE dist <= 50 GROUP BY 1 HAVING count(*) >= 3"),
     "neighborhood_purity_counts": sql("socket", _NEAR + " SELECT l_id AS id, r_item AS item, count(*) FILTER (r_purity = 0) AS purity_0, count(*) FILTER (r_purity = 1) AS purity_1, count(*) FILTER (r_purity = 2) AS purity_2 FROM near WHERE dist <= 50 GROUP BY 1, 2"),
     "topk_snap_candidates": sql("socket", _NEAR + ", k AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY round(dist, 6), r_id) AS rank FROM near WHERE dist <= 50 AND l_id <> r_id) SELECT l_id AS id, rank, r_id AS near, round(dist, 4) AS dist FROM k WHERE rank <= 3"),
     "nearest_route_point": sql("socket", _NEAR + ", k AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY round(dist, 6), r_id) AS rank FROM near WHERE dist <= 100 AND r_id % 25 = 0) SELECT l_id AS id, r_id AS point, round(dist, 4) AS dist, CASE WHEN dist >= 60 THEN 'detour' WHEN dist >= 25 THEN 'near' ELSE 'on route' END AS kind FROM k WHERE rank = 1"),
     "single_link_deposits": sql("socket", _NEAR + ", node AS (SELECT id FROM socket), link AS (SELECT l_id AS a, r_id AS b FROM near WHERE dist <= 40 AND l_item = r_item AND l_id <> r_id), " + _REACH + " SELECT a AS id, min(b) AS component FROM reach GROUP BY 1", True),
+    "regions_by_band": sql("terrain", _REGIONS + " SELECT region, band, count(*) AS n, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM regions GROUP BY 1, 2 HAVING count(*) >= 2", True),
+    "size_shape_classify": sql("terrain", _REGIONS + """, b AS (SELECT region, max(r) - min(r) + 1 AS h, max(c) - min(c) + 1 AS w FROM regions GROUP BY 1 HAVING count(*) >= 2)
+SELECT region, h, w, CASE WHEN greatest(h, w) >= 8 AND least(h, w) >= 4 THEN 'large' WHEN greatest(h, w) >= 4 AND least(h, w) >= 2 THEN 'medium' WHEN greatest(h, w) >= 2 AND least(h, w) >= 1 THEN 'small' ELSE 'none' END AS size,
+CASE WHEN greatest(h, w) / least(h, w) < 1.5 THEN 'compact' WHEN greatest(h, w) / least(h, w) < 3 THEN 'oblong' ELSE 'strip' END AS shape FROM b""", True),
+    "connected_components": sql("", """orders_ AS (SELECT o_custkey AS cust, o_orderdate::DATE AS day, o_orderpriority AS p, o_orderkey FROM orders WHERE o_orderkey % 20 = 0),
+node AS (SELECT DISTINCT cust AS id FROM orders_), e AS (SELECT cust AS a, lead(cust) OVER (PARTITION BY day, p ORDER BY cust, o_orderkey) AS b FROM orders_),
+link AS (SELECT a, b FROM e WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM e WHERE b IS NOT NULL AND a <> b), """ + _REACH + " SELECT a AS id, min(b) AS component FROM reach GROUP BY 1", True),
     "raster_block_stats": sql("terrain", "SELECT r // 10 AS br, c // 10 AS bc, count(*) AS n, count(z) AS valid, round(min(z), 4) AS least, round(max(z), 4) AS most, round(avg(z), 4) AS mean, round(median(z), 4) AS median, round(quantile_cont(z, 0.9), 4) AS p90 FROM terrain GROUP BY 1, 2"),
     "raster_box_mean": sql("terrain", "SELECT a.r, a.c, count(b.z) AS box_n, round(sum(b.z) / count(b.z), 4) AS mean FROM terrain a JOIN terrain b ON b.r BETWEEN a.r - 3 AND a.r + 3 AND b.c BETWEEN a.c - 3 AND a.c + 3 GROUP BY 1, 2"),
     "footprint_relief": sql("terrain", "SELECT a.r, a.c, round(max(b.z) - min(b.z), 4) AS relief FROM terrain a JOIN terrain b ON b.r BETWEEN a.r - 2 AND a.r + 2 AND b.c BETWEEN a.c - 2 AND a.c + 2 GROUP BY 1, 2 HAVING count(b.z) = 25"),
