@@ -1,0 +1 @@
+"""Readers and writers of the planning tables, rasters and records."""
