@@ -11,7 +11,7 @@ first common key.
 Groups are kept small by construction:
 
 * equal fingerprints are one row from the start, so exact copies cost nothing;
-* keys are counted first, and only keys with 2 to `crowd` fingerprints are joined;
+* keys are counted first, and only keys with up to `crowd` fingerprints are joined;
 * fingerprints under a more crowded key (many near copies of one text) are linked exactly in
   linear size: each is dealt to every value within two bits of it (2,081 of them), and all
   that meet at a value are linked to the smallest there. Two fingerprints meet at a common
@@ -111,14 +111,14 @@ def links(prints: DataFrame, crowd: int = 128) -> DataFrame:
     """Links (a, b), a < b, between distinct fingerprints of `prints` (column fp, one row
     each): every pair at `LIMIT` or fewer bits under keys of at most `crowd` fingerprints, and
     for the others enough of them to connect the same fingerprints."""
-    keyed = prints.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").cast("int").alias("n")).where("n > 1")
-    met = staged(keyed.join(shared, "key"), "simhash-keys")
-    few = met.where(F.col("n") <= crowd)
+    keyed = prints.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp")
+    crowded = staged(keyed.groupBy("key").count().where(F.col("count") > crowd).select(F.col("key").alias("full")), "simhash-crowded")
+    few = keyed.join(crowded, F.col("key") == F.col("full"), "left_anti")
     x, y = few.select("key", F.col("fp").alias("a")), few.select(F.col("key").alias("other"), F.col("fp").alias("b"))
     diff = F.col("a").bitwiseXOR(F.col("b"))
     pairs = x.join(y, (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & (F.bit_count(diff) <= LIMIT) & (_first_key(diff) == F.shiftright("key", 22))).select("a", "b")
-    return pairs.unionByName(_crowd_links(staged(met.where(F.col("n") > crowd).select("fp").distinct(), "simhash-crowd")))
+    many = keyed.join(crowded, F.col("key") == F.col("full"), "left_semi").select("fp").distinct()
+    return pairs.unionByName(_crowd_links(staged(many, "simhash-crowd")))
 
 
 def _crowd_links(prints: DataFrame) -> DataFrame:
