@@ -90,18 +90,20 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [(int(y.as_py()), np.asarray(at.values)) for b in batches for y, at in zip(b["y"], b["at"], strict=True)]
+        if not seen:
+            return
         model = Ftrl(bits, **rates)
         for _ in range(epochs):
             for y, at in seen:
                 model.learn(at.astype(np.int64), y)
         w = model.weights(np.arange(2**bits + 1))
-        if not seen:
-            w[-1] = -35.0
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["at", "w"])
 
     ready = rows.select(order.alias("o"), "y", "t").mapInArrow(made, "o long, y int, at array<int>")
     model = ready.repartition(1).sortWithinPartitions("o", "y", F.xxhash64("at")).select("y", "at").mapInArrow(learnt, "at long, w double").toPandas()
+    if model.empty:  # no row was labelled, so nothing was learnt
+        return np.array([2**bits]), np.array([-35.0])
     return model["at"].to_numpy(np.int64), model["w"].to_numpy(np.float64)
 
 
