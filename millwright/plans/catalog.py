@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millwright.plans import demand, solve, spatial, supply
+from millwright.plans import demand, sites, solve, spatial, supply
 from millwright.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (demand, supply, spatial, solve, events):
+for _module in (demand, supply, spatial, sites, solve, events):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
