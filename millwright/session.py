@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """`spark`, whose Python workers find this package where the driver found it. On a cluster
+    the package is installed or sent with --py-files, and an absent path does no harm."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table `name` of a dataset folder. Only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
