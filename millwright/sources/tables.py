@@ -14,7 +14,7 @@ from pyspark.sql.utils import AnalysisException
 
 from millwright.operators.guards import Refusal, refuse
 
-#: Schemas of the reference tables, as DDL.
+#: The columns of the planning tables, as DDL.
 SCHEMAS = {
     "recipes": "recipe_id STRING, display_name STRING, is_alternate BOOLEAN, manufacturing_duration_sec DOUBLE, game_build_id STRING",
     "recipe_io": "recipe_id STRING, direction STRING, item_id STRING, rate_per_min DOUBLE, amount_per_cycle DOUBLE, unit STRING",
