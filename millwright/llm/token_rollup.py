@@ -22,7 +22,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.session import table, work_folder
+from millwright.session import staged, table, work_folder
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["docs", "tokens"]
@@ -47,13 +47,18 @@ def utf8_bytes(text: Column) -> Column:
 TOKENIZERS = {"words/1": words, "runs/1": letter_runs, "bytes/1": utf8_bytes}
 
 
-def counted(docs: DataFrame, text: str = "text", tokenizers: dict = TOKENIZERS) -> DataFrame:
+def counted(docs: DataFrame, text: str = "text", tokenizers: dict = TOKENIZERS, revision: Column | None = None) -> DataFrame:
     """One row (doc_id, source, lang, tokenizer, tokens) for each row of `docs` and tokenizer.
-    Null sources and languages are keys like others (''); a null text has no tokens."""
+    Null sources and languages are keys like others (''); a null text has no tokens.
+
+    With a `revision` of the text there are two more columns: whether it differs from the text,
+    and its tokens. Texts are read once and do not leave their task."""
     t = F.coalesce(F.col(text), F.lit(""))
-    each = F.array(*(F.struct(F.lit(name).alias("tokenizer"), count(t).alias("tokens")) for name, count in tokenizers.items()))
+    new = t if revision is None else F.coalesce(revision, F.lit(""))
+    each = F.array(*(F.struct(F.lit(name).alias("tokenizer"), count(t).alias("tokens"), count(new).alias("revised")) for name, count in tokenizers.items()))
     key = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in docs.columns else F.lit("").alias(c) for c in ("source", "lang")]
-    return docs.select("doc_id", *key, F.explode(each).alias("e")).select("doc_id", "source", "lang", "e.tokenizer", "e.tokens")
+    rows = docs.select("doc_id", *key, (t != new).alias("changed"), F.explode(each).alias("e")).select("doc_id", "source", "lang", "e.tokenizer", "e.tokens", "changed", "e.revised")
+    return rows.drop("changed", "revised") if revision is None else rows
 
 
 def inserted(counts: DataFrame) -> DataFrame:
@@ -169,13 +174,13 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch is sent again, without effect."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
-    clean = F.regexp_replace("text", MARKS, "")
-    changed = docs.join(toxic, "doc_id", "left_anti").where(F.col("text") != clean)
+    rows = staged(counted(docs, revision=F.regexp_replace("text", MARKS, "")), "token-counts")
     rollup = Rollup(spark, work_folder(spark, "token-rollup"))
-    gone = deleted(counted(docs.join(toxic, "doc_id", "left_semi")))
-    rollup.commit("0001-load", inserted(counted(docs)))
+    gone = deleted(rows.join(toxic, "doc_id", "left_semi"))
+    changed = rows.where("changed").join(toxic, "doc_id", "left_anti")
+    rollup.commit("0001-load", inserted(rows))
     rollup.commit("0002-toxic", gone)
-    rollup.commit("0003-marks", revised(counted(changed), counted(changed.withColumn("text", clean))))
+    rollup.commit("0003-marks", revised(changed, changed.withColumn("tokens", F.col("revised"))))
     rollup.commit("0002-toxic", gone)
     rollup.compact()
     return rollup.totals()
