@@ -17,6 +17,10 @@ Groups are kept small by construction:
   that meet at a value are linked to the smallest there. Two fingerprints meet at a common
   value if and only if they differ by at most four bits.
 
+The query's fingerprints are over four-word shingles. `deduplicate` instead takes texts that share
+0.8 of their five-word shingles: it finds candidates by the same index, on fingerprints over
+distinct words, and verifies each on the shingle sets (see `similar`).
+
 Links are then labelled with the smallest doc_id by rounds of hooking and shortcutting in
 tables, never on the driver.
 """
@@ -36,6 +40,8 @@ from pyspark.sql import types as T
 from millwright.session import staged, table
 
 LIMIT, SEED = 4, 42
+#: Seeds of the fingerprints over distinct words.
+SEEDS = (1, 2, 3)
 #: (first bit, bits) of the segments.
 SEGMENTS = [(0, 22), (22, 21), (43, 21)]
 #: Hashes voted on at once, which bounds the memory of a very long text.
@@ -182,9 +188,85 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 4) -> DataF
     return grouped(docs, text, size).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component.doc_id").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, text: str = "text", size: int = 4) -> DataFrame:
-    """One row of each component, the one with the smallest doc_id; columns as in `docs`."""
-    rows = staged(grouped(docs, text, size), "simhash-groups")
+def word_prints(words: list[bytes], seeds: tuple[int, ...] = SEEDS) -> list[int]:
+    """One fingerprint for each seed over the distinct words; 0 without words."""
+    own = sorted(set(words))
+    out = []
+    for seed in seeds:
+        votes = np.zeros(64, np.int64)
+        for at in range(0, len(own), BLOCK):
+            hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in own[at : at + BLOCK]], "<u8")
+            votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(votes * 2 > len(own), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the `size`-word shingles of a text; of the whole sequence where
+    there are fewer words; none without words."""
+    words = words_of(text)
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined)] if words else [], np.uint64).view(np.int64)
+    starts = [0, *accumulate(len(w) + 1 for w in words)]
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a : b - 1]) for a, b in zip(starts, starts[size:], strict=False)], np.uint64).view(np.int64))
+
+
+def similar(docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8, crowd: int = 128) -> DataFrame:
+    """doc_id, digest (of the text) and component (doc_id and digest of the smallest document
+    reachable) of every row of `docs`, over links between texts that share `similarity` of their
+    `size`-word shingles.
+
+    An edit changes few of a text's distinct words, so fingerprints over these stay within
+    `LIMIT` bits where those over shingles do not. Links of any of three such fingerprints are
+    candidates, and each is verified on the whole shingle sets. Texts of one fingerprint are
+    compared with the first of them, those under crowded keys with the smallest nearby."""
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = np.array([word_prints(words_of(t.as_py())) for t in b["t"]], np.uint64).reshape(-1, len(SEEDS)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in made.T)], names=[*b.schema.names[:-1], *names])
+
+    names = [f"p{k}" for k in range(len(SEEDS))]
+    kind = dict(docs.dtypes)["doc_id"]
+    t = F.coalesce(F.col(text), F.lit(""))
+    own = docs.select("doc_id", F.xxhash64(t).alias("digest"), t.alias("t")).mapInArrow(printed, f"doc_id {kind}, digest long, " + ", ".join(f"{n} long" for n in names))
+    own = staged(own, "similar-prints")
+    ident = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("digest"))
+    units = staged(own.groupBy("digest").agg(F.min(ident).alias("first"), *(F.first(n).alias(n) for n in names)), "similar-texts")
+    pairs = None
+    for n in names:
+        heads = staged(units.groupBy(F.col(n).alias("fp")).agg(F.min("digest").alias("head")), "similar-heads")
+        a, b = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+        linked = links(heads.select("fp"), crowd).join(a, "a").join(b, "b").select("x", "y")
+        equal = units.join(heads, F.col(n) == F.col("fp")).where("digest <> head").select(F.col("head").alias("x"), F.col("digest").alias("y"))
+        more = linked.unionByName(equal).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        pairs = more if pairs is None else pairs.unionByName(more)
+    pairs = staged(pairs.distinct(), "similar-pairs")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["digest"], pa.array([shingle_set(x.as_py(), size) for x in b["t"]], pa.list_(pa.int64()))], names=["digest", "shingles"])
+
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("digest")).distinct()
+    sets = docs.select(F.xxhash64(t).alias("digest"), "doc_id", t.alias("t"))
+    # One row of each wanted text, told by its smallest document; equal rows give equal sets.
+    chosen = units.join(wanted, "digest").select("digest", F.col("first.doc_id").alias("__id"))
+    sets = sets.join(chosen.withColumnRenamed("digest", "__digest"), (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("digest", "t")
+    sets = staged(sets.mapInArrow(shingled, "digest long, shingles array<long>"), "similar-shingles").dropDuplicates(["digest"])
+    x, y = sets.select(F.col("digest").alias("x"), F.col("shingles").alias("sx")), sets.select(F.col("digest").alias("y"), F.col("shingles").alias("sy"))
+    both = pairs.join(x, "x").join(y, "y").select("x", "y", F.size(F.array_intersect("sx", "sy")).alias("n"), (F.size("sx") + F.size("sy")).alias("total"))
+    verified = both.where(F.col("n") >= similarity * (F.col("total") - F.col("n"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = staged(stars(verified), "similar-roots")
+    member = staged(units.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "first", F.coalesce("root", "digest").alias("root")), "similar-members")
+    component = member.join(member.groupBy("root").agg(F.min("first").alias("component")), "root").select("digest", "component")
+    return own.join(component, "digest").select("doc_id", "digest", "component")
+
+
+def deduplicate(docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each component of `similar`, the one with the smallest doc_id; columns as in
+    `docs`."""
+    rows = staged(similar(docs, text, size, similarity), "simhash-groups")
     first = F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("digest") == F.col("component.digest"))
     gone = rows.where(~first).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
     digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
