@@ -18,8 +18,7 @@ Groups are kept small by construction:
   value if and only if they differ by at most four bits.
 
 The query's fingerprints are over four-word shingles. `deduplicate` instead takes texts that share
-0.8 of their five-word shingles: it finds candidates by the same index, on fingerprints over
-distinct words, and verifies each on the shingle sets (see `similar`).
+0.8 of their five-word shingles, found without fingerprints by an exact search (see `similar`).
 
 Links are then labelled with the smallest doc_id by rounds of hooking and shortcutting in
 tables, never on the driver.
@@ -27,13 +26,14 @@ tables, never on the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,8 @@ SEEDS = (1, 2, 3)
 SEGMENTS = [(0, 22), (22, 21), (43, 21)]
 #: Hashes voted on at once, which bounds the memory of a very long text.
 BLOCK = 1 << 16
+#: Rounds of linear size before all pairs; frequent shingles that are kept to order the others.
+ROUNDS, COMMON = 3, 1 << 17
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -212,55 +214,118 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(joined[a : b - 1]) for a, b in zip(starts, starts[size:], strict=False)], np.uint64).view(np.int64))
 
 
-def similar(docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8, crowd: int = 128) -> DataFrame:
-    """doc_id, digest (of the text) and component (doc_id and digest of the smallest document
-    reachable) of every row of `docs`, over links between texts that share `similarity` of their
-    `size`-word shingles.
+def frequent(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles (sorted hashes, counts) in a sixteenth of the distinct texts, at
+    most `COMMON` of them. They only set an order of shingles, so a sample is as right as all."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b["t"]:
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), size))], names=["s"])
+
+    t = F.coalesce(F.col(text), F.lit(""))
+    some = docs.select(t.alias("t"), F.xxhash64(t).alias("digest")).where(F.pmod(F.xxhash64("digest"), F.lit(16)) == 0).dropDuplicates(["digest"]).select("t")
+    rows = some.mapInArrow(listed, "s long").groupBy("s").count().where("count > 2").orderBy(F.col("count").desc(), "s").limit(COMMON).collect()
+    rows.sort()
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles in one order of all shingles, rarest first, so many that two sets with
+    the given Jaccard similarity share one of them; 0 for the empty set."""
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, np.int64)
+    hashes, counts = common
+    rank = np.zeros(n, np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
+        rank = np.where(hashes[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, rank))][: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of 256 classes; the sum of the lesser counts of two sets
+    is never below what they share."""
+    return np.bincount(shingles.view(np.uint64).astype(np.uint8), minlength=256).astype("<u4").tobytes()
+
 
-    An edit changes few of a text's distinct words, so fingerprints over these stay within
-    `LIMIT` bits where those over shingles do not. Links of any of three such fingerprints are
-    candidates, and each is verified on the whole shingle sets. Texts of one fingerprint are
-    compared with the first of them, those under crowded keys with the smallest nearby."""
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of `pairs` (x, y) whose sets are similar: bounded by sketches, then counted."""
 
-    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = np.array([word_prints(words_of(t.as_py())) for t in b["t"]], np.uint64).reshape(-1, len(SEEDS)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in made.T)], names=[*b.schema.names[:-1], *names])
+            if b.num_rows:
+                k, l = (np.frombuffer(b"".join(b[c].to_pylist()), "<u4").reshape(-1, 256).astype(np.int64) for c in ("kx", "ky"))
+                most = np.minimum(k, l).sum(axis=1)
+                yield b.select(["x", "y"]).filter(pa.array(most >= similarity * (k.sum(axis=1) + l.sum(axis=1) - most)))
 
-    names = [f"p{k}" for k in range(len(SEEDS))]
+    side = lambda c, v, to: sets.select(F.col("digest").alias(c), F.col(v).alias(to))
+    likely = staged(pairs.join(side("x", "sketch", "kx"), "x").join(side("y", "sketch", "ky"), "y").select("x", "y", "kx", "ky").mapInArrow(bounded, "x long, y long"), "similar-likely")
+    both = likely.join(side("x", "shingles", "sx"), "x").join(side("y", "shingles", "sy"), "y").select("x", "y", F.size(F.array_intersect("sx", "sy")).alias("n"), (F.size("sx") + F.size("sy")).alias("total"))
+    return staged(both.where(F.col("n") >= similarity * (F.col("total") - F.col("n"))).select(F.col("x").alias("a"), F.col("y").alias("b")), "similar-links")
+
+
+def similar(docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, digest (of the text) and component (doc_id and digest of the smallest document
+    reachable) of every row of `docs`, over all links between texts that share `similarity` of
+    their `size`-word shingles.
+
+    The search is exact. Texts are indexed under their rarest shingles (`prefix`), under which
+    every two similar texts meet. First each text is compared with one other it meets, `ROUNDS`
+    times, which links most of a large group in linear size; then every two texts that meet, are
+    not of one component yet and whose sizes allow it are compared on the whole sets."""
     kind = dict(docs.dtypes)["doc_id"]
     t = F.coalesce(F.col(text), F.lit(""))
-    own = docs.select("doc_id", F.xxhash64(t).alias("digest"), t.alias("t")).mapInArrow(printed, f"doc_id {kind}, digest long, " + ", ".join(f"{n} long" for n in names))
-    own = staged(own, "similar-prints")
+    common = frequent(docs, text, size)
+
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(x.as_py(), size) for x in b["t"]]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(x) for x in sets], pa.int64()), pa.array([prefix(x, similarity, common) for x in sets], pa.list_(pa.int64()))], names=[*b.schema.names[:-1], "n", "keys"])
+
+    own = docs.select("doc_id", F.xxhash64(t).alias("digest"), t.alias("t")).mapInArrow(indexed, f"doc_id {kind}, digest long, n long, keys array<long>")
+    own = staged(own, "similar-prefixes")
     ident = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("digest"))
-    units = staged(own.groupBy("digest").agg(F.min(ident).alias("first"), *(F.first(n).alias(n) for n in names)), "similar-texts")
-    pairs = None
-    for n in names:
-        heads = staged(units.groupBy(F.col(n).alias("fp")).agg(F.min("digest").alias("head")), "similar-heads")
-        a, b = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
-        linked = links(heads.select("fp"), crowd).join(a, "a").join(b, "b").select("x", "y")
-        equal = units.join(heads, F.col(n) == F.col("fp")).where("digest <> head").select(F.col("head").alias("x"), F.col("digest").alias("y"))
-        more = linked.unionByName(equal).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        pairs = more if pairs is None else pairs.unionByName(more)
-    pairs = staged(pairs.distinct(), "similar-pairs")
+    units = staged(own.groupBy("digest").agg(F.min(ident).alias("first")), "similar-texts")
+    key = Window.partitionBy("key")
+    keyed = own.select(F.explode("keys").alias("key"), "digest", "n").repartition("key").dropDuplicates(["key", "digest"])
+    met = staged(keyed.withColumn("many", F.count("*").over(key)).where("many > 1").drop("many"), "similar-met")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["digest"], pa.array([shingle_set(x.as_py(), size) for x in b["t"]], pa.list_(pa.int64()))], names=["digest", "shingles"])
+            sets = [shingle_set(x.as_py(), size) for x in b["t"]]
+            yield pa.RecordBatch.from_arrays([b["digest"], pa.array([sketch(x) for x in sets]), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "sketch", "shingles"])
 
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("digest")).distinct()
-    sets = docs.select(F.xxhash64(t).alias("digest"), "doc_id", t.alias("t"))
     # One row of each wanted text, told by its smallest document; equal rows give equal sets.
-    chosen = units.join(wanted, "digest").select("digest", F.col("first.doc_id").alias("__id"))
-    sets = sets.join(chosen.withColumnRenamed("digest", "__digest"), (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("digest", "t")
-    sets = staged(sets.mapInArrow(shingled, "digest long, shingles array<long>"), "similar-shingles").dropDuplicates(["digest"])
-    x, y = sets.select(F.col("digest").alias("x"), F.col("shingles").alias("sx")), sets.select(F.col("digest").alias("y"), F.col("shingles").alias("sy"))
-    both = pairs.join(x, "x").join(y, "y").select("x", "y", F.size(F.array_intersect("sx", "sy")).alias("n"), (F.size("sx") + F.size("sy")).alias("total"))
-    verified = both.where(F.col("n") >= similarity * (F.col("total") - F.col("n"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = staged(stars(verified), "similar-roots")
+    chosen = units.join(met.select("digest").distinct(), "digest").select(F.col("digest").alias("__digest"), F.col("first.doc_id").alias("__id"))
+    sets = docs.select(F.xxhash64(t).alias("digest"), "doc_id", t.alias("t"))
+    sets = sets.join(chosen, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("digest", "t").dropDuplicates(["digest"])
+    sets = staged(sets.mapInArrow(shingled, "digest long, sketch binary, shingles array<long>"), "similar-shingles")
+
+    found = met.select(F.col("digest").alias("a"), F.col("digest").alias("b")).where("false")
+    roots = found.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    for turn in range(ROUNDS + 1):
+        rows = met.join(roots, F.col("digest") == F.col("node"), "left").select("key", "digest", "n", F.coalesce("root", "digest").alias("label"))
+        rows = rows.withColumn("apart", F.min("label").over(key) < F.max("label").over(key)).where("apart").drop("apart")
+        if turn < ROUNDS:
+            head = F.min(F.struct(F.xxhash64("digest", F.lit(turn)), "digest", "label", "n")).over(key)
+            asked = rows.withColumn("head", head).where((F.col("label") != F.col("head.label")) & _sizes("n", "head.n", similarity))
+            pairs = asked.groupBy("digest", F.col("head.digest").alias("y")).count().groupBy(F.col("digest").alias("x")).agg(F.max(F.struct("count", "y"))["y"].alias("y"))
+        else:
+            rows = staged(rows, "similar-rest")
+            other = rows.select("key", F.col("digest").alias("y"), F.col("n").alias("m"), F.col("label").alias("l"))
+            pairs = rows.withColumnRenamed("digest", "x").join(other, "key").where((F.col("x") < F.col("y")) & (F.col("label") != F.col("l")) & _sizes("n", "m", similarity)).select("x", "y").distinct()
+        found = found.unionByName(_verified(pairs, sets, similarity))
+        roots = staged(stars(found), "similar-roots")
     member = staged(units.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "first", F.coalesce("root", "digest").alias("root")), "similar-members")
     component = member.join(member.groupBy("root").agg(F.min("first").alias("component")), "root").select("digest", "component")
-    return own.join(component, "digest").select("doc_id", "digest", "component")
+    return own.select("doc_id", "digest").join(component, "digest").select("doc_id", "digest", "component")
+
+
+def _sizes(n: str, m: str, similarity: float) -> Column:
+    """Whether two sets of these sizes can be similar."""
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
 
 def deduplicate(docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
