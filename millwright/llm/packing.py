@@ -3,8 +3,11 @@
 Every source is a queue of documents in a fixed order. Deficit round-robin serves the queues
 in rounds: a round credits each source with its share of `round_tokens`, and the source sends
 documents while its credit covers them; what is left is its deficit, carried to the next
-round. So the stream keeps the target token proportions to within one document of a source,
-round after round, and when a queue is empty the others go on in proportion.
+round. Inside a round the credit is paid out evenly: documents of all sources follow each other
+by the moment at which their source's credit covers them. So at every place of the stream each
+source has its target share of the tokens to within about one document of each source, and when
+a queue is empty the others go on in proportion. Documents stay whole but for window ends, so a
+window shorter than the documents holds only a few of them, and a few sources.
 
 The round of a document has a closed form, as credit only grows: with `q` tokens of its source
 up to and including it, the first round whose total credit reaches q. So rounds need no loop
@@ -102,14 +105,15 @@ def scheduled(lengths: DataFrame, weights: dict[str, float] | None = None, round
     cells = max(1, math.ceil(lengths.count() / cell_rows))
     drawn = lengths.withColumn("draw", F.xxhash64("row")).withColumn("cell", F.pmod("draw", F.lit(cells)).cast("int"))
     queued = running(drawn, ["source"], "cell", ["draw", "row"], "doc_tokens", "before").join(credit, "source")
-    sent = queued.withColumn("round", (F.ceil((F.col("before") + F.col("doc_tokens")) / F.col("credit")) - 1).cast("long"))
-    sent = sent.withColumn("part", F.lit(0)).select("part", "round", "source", "cell", "draw", "row", "doc_tokens")
+    sent = queued.withColumn("turn", (F.col("before") + F.col("doc_tokens")) / F.col("credit"))
+    sent = sent.withColumn("round", (F.ceil("turn") - 1).cast("long"))
+    sent = sent.withColumn("part", F.lit(0)).select("part", "round", "turn", "source", "cell", "draw", "row", "doc_tokens")
     sent = staged(sent, "packing-rounds")
     # A round is a cell of the stream; blocks of rounds keep the sum over rounds short as well.
     blocked = sent.withColumn("block", F.col("round").bitwiseAND(F.lit(~1023).cast("long")))
     blocks = blocked.groupBy("part", "block").agg(F.sum("doc_tokens").alias("size"))
     first = F.coalesce(F.sum("size").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = running(blocked, ["block"], "round", ["source", "cell", "draw", "row"], "doc_tokens", "inside")
+    inside = running(blocked, ["block"], "round", ["turn", "source", "cell", "draw", "row"], "doc_tokens", "inside")
     return inside.join(blocks.select("block", first.alias("first")), "block").select("row", (F.col("first") + F.col("inside")).cast("long").alias("position"))
 
 
