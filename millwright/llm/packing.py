@@ -1,22 +1,23 @@
 """Mixture-controlled packing of documents into fixed-length token sequences.
 
-Every source is a queue of documents in a fixed order. Deficit round-robin serves the queues
-in rounds: a round credits each source with its share of `round_tokens`, and the source sends
-documents while its credit covers them; what is left is its deficit, carried to the next
-round. Inside a round the credit is paid out evenly: documents of all sources follow each other
-by the moment at which their source's credit covers them. So at every place of the stream each
-source has its target share of the tokens to within about one document of each source, and when
-a queue is empty the others go on in proportion. Documents stay whole but for window ends, so a
-window shorter than the documents holds only a few of them, and a few sources.
-
-The round of a document has a closed form, as credit only grows: with `q` tokens of its source
-up to and including it, the first round whose total credit reaches q. So rounds need no loop
-and no state between partitions: deficits cross partitions as prefix sums. The stream is laid
-out by round and cut every `length` tokens; every sequence but the last is full.
-
-Prefix sums are taken in two levels, cells and rows inside a cell, so that no source, however
-large, is summed in one task. Texts are read once: token ids go to a written table, the layout
-works on lengths alone, and the ids meet their layout in one join by row number.
+Every source is a queue of documents in the table's order. Deficit round-robin serves the queues
+in rounds of one window: a round credits each queue with its share of `length` tokens, and the
+queue sends slices of `least` tokens (documents are cut freely) while its credit covers them; what
+is left is its deficit, carried to the next round. So every window holds the sources in their
+target proportions, to within a slice or two each, and when a queue is empty the others go on in
+proportion. The stream of rounds is cut every `length` tokens; every sequence but the last is full.
+
+All of it has a closed form, as credit only grows. By round w a queue of T tokens and quantum q
+has sent `least` * floor(w q / `least`) tokens, or T once w q reaches T; the stream's length by
+round w is the sum over queues. So the place of a token follows from its queue and its number
+there, and rounds need no loop, no sort and no state between partitions (`Schedule`).
+
+A token's number in its queue is a prefix sum in two levels: while a task tokenizes its rows it
+counts what each source had before in this task, and one row for each task and source gives the
+rest. So texts are read once and no row is shuffled for its place: token ids go to a written
+table and meet one offset for each (source, task), which Spark broadcasts if it is small.
+
+Beyond `most_queues` sources the smallest share the last queue, in the table's order.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millwright.session import staged, table
@@ -65,94 +67,134 @@ def encoder(vocabulary: str = VOCABULARY):
 
 
 def tokenized(docs: DataFrame, text: str = "text", end: int = 0, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, source, row, doc_tokens, ids of every row of `docs`: its ids and the end id as
-    little-endian 16-bit numbers (the vocabulary has fewer ids). `row` tells equal rows apart."""
+    """doc_id, source, cell, inside, doc_tokens, ids of every row of `docs`: its ids and the end
+    id as little-endian 16-bit numbers (the vocabulary has fewer ids), the task that read it and
+    how many tokens of its source that task had before it. A table to write at once: places hold
+    for the rows of one reading."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode, cell = encoder(vocabulary), TaskContext.get().partitionId()
+        seen: dict[str, int] = {}
         for b in batches:
             ids = [np.array([*encode(t.as_py()), end], "<u2").tobytes() for t in b["t"]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], b["row"], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "row", "doc_tokens", "ids"])
+            inside = []
+            for s, x in zip(b["source"].to_pylist(), ids, strict=True):
+                inside.append(seen.get(s, 0))
+                seen[s] = inside[-1] + len(x) // 2
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], pa.array([cell] * len(ids), pa.int32()), pa.array(inside, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "cell", "inside", "doc_tokens", "ids"])
 
     source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    rows = docs.select(F.col("doc_id"), source.alias("source"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = docs.select(F.col("doc_id"), source.alias("source"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, source string, row long, doc_tokens long, ids binary")
-
-
-def running(rows: DataFrame, by: list[str], cell: str, order: list[Column | str], size: str, name: str) -> DataFrame:
-    """`rows` with the sum of `size` over all earlier rows of the group `by`, in order of
-    `cell` and `order`. Cells are summed by themselves and offset, so only one row for each
-    cell of a group meets in a task."""
-    totals = rows.groupBy(*by, cell).agg(F.sum(size).alias("__total"))
-    earlier = F.sum("__total").over(Window.partitionBy(*by).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*by, cell, F.coalesce(earlier, F.lit(0)).alias("__offset"))
-    inside = F.sum(size).over(Window.partitionBy(*by, cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(offsets, [*by, cell]).withColumn(name, (F.col("__offset") + F.col("__inside")).cast("long")).drop("__offset", "__inside")
-
-
-def scheduled(lengths: DataFrame, weights: dict[str, float] | None = None, round_tokens: int = 1 << 18, cell_rows: int = 2048) -> DataFrame:
-    """(row, position) of every row of `lengths` (source, row, doc_tokens): where the document
-    starts in the stream. `weights` are the sources' target shares (default: their own); a
-    source without one is served at the least positive weight."""
-    sums = lengths.groupBy("source").agg(F.sum("doc_tokens").alias("weight"))
-    if weights:
-        given = {s: float(w) for s, w in weights.items() if w > 0}
-        named = lengths.sparkSession.createDataFrame(list(given.items()), "source string, given double")
-        sums = sums.join(named, "source", "left").select("source", F.coalesce("given", F.lit(min(given.values()))).alias("weight"))
-    total = float(sums.agg(F.coalesce(F.sum("weight"), F.lit(1))).first()[0])
-    credit = sums.select("source", F.greatest(F.lit(1.0), F.col("weight") * (round_tokens / total)).alias("credit"))
-    cells = max(1, math.ceil(lengths.count() / cell_rows))
-    drawn = lengths.withColumn("draw", F.xxhash64("row")).withColumn("cell", F.pmod("draw", F.lit(cells)).cast("int"))
-    queued = running(drawn, ["source"], "cell", ["draw", "row"], "doc_tokens", "before").join(credit, "source")
-    sent = queued.withColumn("turn", (F.col("before") + F.col("doc_tokens")) / F.col("credit"))
-    sent = sent.withColumn("round", (F.ceil("turn") - 1).cast("long"))
-    sent = sent.withColumn("part", F.lit(0)).select("part", "round", "turn", "source", "cell", "draw", "row", "doc_tokens")
-    sent = staged(sent, "packing-rounds")
-    # A round is a cell of the stream; blocks of rounds keep the sum over rounds short as well.
-    blocked = sent.withColumn("block", F.col("round").bitwiseAND(F.lit(~1023).cast("long")))
-    blocks = blocked.groupBy("part", "block").agg(F.sum("doc_tokens").alias("size"))
-    first = F.coalesce(F.sum("size").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = running(blocked, ["block"], "round", ["turn", "source", "cell", "draw", "row"], "doc_tokens", "inside")
-    return inside.join(blocks.select("block", first.alias("first")), "block").select("row", (F.col("first") + F.col("inside")).cast("long").alias("position"))
+    return rows.mapInArrow(run, f"doc_id {kind}, source string, cell int, inside long, doc_tokens long, ids binary")
+
+
+class Schedule:
+    """Deficit round-robin over queues of `totals` tokens, served in proportion to `weights`."""
+
+    def __init__(self, totals: list[int], weights: list[float], length: int, least: int):
+        self.totals, self.length, self.least = np.array(totals, np.int64), length, least
+        self.quanta = length * np.array(weights, np.float64) / max(math.fsum(weights), 1e-300)
+
+    def sent(self, rounds: np.ndarray, queue: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Tokens sent by the queues after so many rounds; arrays that broadcast."""
+        credit = rounds * self.quanta[queue]
+        return np.where(credit >= self.totals[queue], self.totals[queue], self.least * np.floor(credit / self.least).astype(np.int64))
+
+    def round_of(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The round, from 0, in which a queue sends a token: the first one after which its credit
+        covers the token's slice."""
+        q = self.quanta[queue]
+        end = np.minimum((token // self.least + 1) * self.least, self.totals[queue])
+        after = np.ceil(end / q).astype(np.int64)
+        after += after * q < end
+        after -= (after - 1) * q >= end
+        return after - 1
+
+    def positions(self, queue: np.ndarray, rounds: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Places in the stream of tokens that their queues send in the given rounds."""
+        out, step = np.empty(len(token), np.int64), max(1, (1 << 22) // max(1, len(self.totals)))
+        order = np.arange(len(self.totals))
+        for at in range(0, len(token), step):
+            j, w = queue[at : at + step, None], rounds[at : at + step, None]
+            before = self.sent(w)
+            others = np.where(order < j, self.sent(w + 1), before).sum(axis=1)
+            out[at : at + step] = others + token[at : at + step] - np.take_along_axis(before, j, 1)[:, 0]
+        return out
+
+    def segments(self, queue: np.ndarray, before: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, start, length, position) of the runs of tokens that stay together of documents
+        with `before` tokens of their queue before them: one run for each round, in order."""
+        wide = self.quanta[queue] >= self.least  # each round sends a slice; else each slice has a round
+        first = np.where(wide, self.round_of(queue, before), before // self.least)
+        last = np.where(wide, self.round_of(queue, before + size - 1), (before + size - 1) // self.least)
+        row, number = _runs(first, last - first + 1)
+        j, b, n, own = queue[row], before[row], size[row], wide[row]
+        begin = np.maximum(b, np.where(own, self.sent(number, j), number * self.least))
+        to = np.minimum(b + n, np.where(own, self.sent(number + 1, j), (number + 1) * self.least))
+        rounds = np.where(own, number, self.round_of(j, begin))
+        return row, begin - b, to - begin, self.positions(j, rounds, begin)
+
+
+def _runs(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first[row] + 0, 1, ..., count[row] - 1) for every row."""
+    row = np.repeat(np.arange(len(first)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+
+
+def queues(tokens: DataFrame, weights: dict[str, float] | None, length: int, least: int, most_queues: int) -> tuple[DataFrame, Schedule]:
+    """(source, cell, queue, first) for every source and task: the queue and the tokens in it
+    before this task's; and the schedule. `weights` are the sources' target shares (default: their
+    own); a source without one is served at the least positive weight."""
+    sums = staged(tokens.groupBy("source", "cell").agg(F.sum("doc_tokens").alias("size")), "packing-sums")
+    totals = sums.groupBy("source").agg(F.sum("size").alias("total"))
+    large = totals.orderBy(F.col("total").desc(), "source").limit(most_queues - 1).collect()  # at most most_queues rows
+    given = {s: float(w) for s, w in (weights or {}).items() if w > 0}
+    spark = tokens.sparkSession
+    names = spark.createDataFrame([(r["source"], i) for i, r in enumerate(large)], "source string, queue int")
+    placed = sums.join(F.broadcast(names), "source", "left").na.fill({"queue": len(large)})
+    before = F.sum("size").over(Window.partitionBy("queue").orderBy("cell", "source").rowsBetween(Window.unboundedPreceding, -1))
+    rest = totals.join(F.broadcast(names), "source", "left_anti").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    sizes = [*((r["total"], given.get(r["source"], min(given.values())) if given else r["total"]) for r in large), *([(rest, min(given.values()) if given else rest)] if rest else [])]
+    return staged(placed.select("source", "cell", "queue", F.coalesce(before, F.lit(0)).cast("long").alias("first")), "packing-offsets"), Schedule([t for t, _ in sizes], [w for _, w in sizes], length, least)
 
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, length: int = 1024, weights: dict[str, float] | None = None, text: str = "text", end: int = 0, round_tokens: int = 1 << 18, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, length: int = 1024, weights: dict[str, float] | None = None, text: str = "text", end: int = 0, least: int = 32, most_queues: int = 1024, with_ids: bool = False) -> DataFrame:
     """One row for each piece of a document: doc_id, source, start, length, ids_crc32,
     doc_tokens, sequence_id, offset (and ids, as 32-bit numbers). Every document ends with the
-    id `end`, and a document is cut only where a sequence ends. All sequences but the last hold
-    `length` ids.
+    id `end`; pieces are cut where its queue's turn or a sequence ends. All sequences but the last
+    hold `length` ids.
 
     A null text is empty and still has its end id; a null source is the source ''; equal rows
     are packed each; no rows give no pieces."""
     tokens = staged(tokenized(docs, text, end), "packing-ids")
-    placed = tokens.join(scheduled(tokens.select("source", "row", "doc_tokens"), weights, round_tokens), "row").select("doc_id", "source", "doc_tokens", "ids", "position")
+    offsets, schedule = queues(tokens.select("source", "cell", "doc_tokens"), weights, length, least, most_queues)
+    placed = tokens.join(offsets, ["source", "cell"]).select("doc_id", "source", "queue", (F.col("first") + F.col("inside")).alias("before"), "doc_tokens", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[int] = []
-            out: list[tuple] = []
-            for i, (n, ids, at) in enumerate(zip(*(b[c].to_pylist() for c in ("doc_tokens", "ids", "position")), strict=True)):
-                wide, start = memoryview(np.frombuffer(ids, "<u2").astype("<u4").tobytes()), 0
-                while start < n:
-                    sequence, offset = divmod(at + start, length)
-                    size = min(n - start, length - offset)
-                    piece = wide[4 * start : 4 * (start + size)]
-                    rows.append(i)
-                    out.append((start, size, zlib.crc32(piece), n, sequence, offset, *([bytes(piece)] if with_ids else [])))
-                    start += size
-            if out:
-                own = b.select(["doc_id", "source"]).take(pa.array(rows))
-                made = [pa.array(c, pa.int64()) if k < 6 else pa.array(c, pa.binary()) for k, c in enumerate(zip(*out, strict=True))]
-                yield pa.RecordBatch.from_arrays([*own.columns, *made], names=["doc_id", "source", *(f.split()[0] for f in PIECE.split(", ")), *(["ids"] if with_ids else [])])
+            if not b.num_rows:
+                continue
+            queue, before, size = (b[c].to_numpy().astype(np.int64) for c in ("queue", "before", "doc_tokens"))
+            row, start, run, position = schedule.segments(queue, before, size)
+            part, window = _runs(position // length, (position + run - 1) // length - position // length + 1)
+            begin = np.maximum(position[part], window * length)
+            run = np.minimum(position[part] + run[part], (window + 1) * length) - begin
+            row, start = row[part], start[part] + begin - position[part]
+            wide = [memoryview(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in b["ids"].to_pylist()]
+            ids = [wide[i][4 * a : 4 * (a + n)] for i, a, n in zip(row.tolist(), start.tolist(), run.tolist(), strict=True)]
+            made = [start, run, np.array([zlib.crc32(x) for x in ids], np.int64), size[row], window, begin - window * length]
+            out = [*b.select(["doc_id", "source"]).take(pa.array(row)).columns, *(pa.array(x, pa.int64()) for x in made)]
+            out += [pa.array([bytes(x) for x in ids], pa.binary())] if with_ids else []
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "source", *(f.split()[0] for f in PIECE.split(", ")), *(["ids"] if with_ids else [])])
 
     kind = dict(placed.dtypes)["doc_id"]
     return placed.mapInArrow(cut, f"doc_id {kind}, source string, {PIECE}" + ", ids binary" * with_ids)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed to 1024 tokens, sources in their own proportions throughout."""
+    """All documents packed to 1024 tokens, sources in their own proportions in every window."""
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
