@@ -7,12 +7,16 @@ path usually play one role in a page, so text length and punctuation are gathere
 2. punctuation ratio: punctuation marks, by text node of the path;
 3. both are smoothed over page order with a Gaussian window, weighted by how alike the
    neighbouring paths are, and fused by multiplication;
-4. nodes whose fused value reaches a share of the standard deviation are content nodes.
+4. names weigh in: a fused value counts `MARKED` times as much under a tag, role, class or id
+   that says boilerplate, and `NAMED` times under one that says content;
+5. nodes whose value reaches a share of the standard deviation are content nodes.
 
-The content nodes then choose the container: the semantic container (article, main or a
-class or id that says so) that holds most of their length, else their closest common block
-container. The result is every block of that container in page order, so headings and short
-paragraphs come along, less what is boilerplate by tag, role, class or id.
+Content nodes decide what comes out. The region is the smallest sectioning element that holds
+nearly all of their text, whatever its name. Its blocks are the result, in page order, so
+headings, lists and short paragraphs come along with the paths that were chosen; marked nodes
+come out only if they are content nodes themselves, and nodes that are mostly links do not where
+the region is the whole page. What browsers do not show (scripts, styles, hidden elements) and the
+parts of forms are no text nodes at all.
 
 Each page is judged alone, so the operator needs no shuffle and its memory is one Arrow batch
 of pages; the text of a page is never cut.
@@ -40,8 +44,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that never hold main text.
-DROPPED = RAW | frozenset("head nav footer aside form button select option input label dialog menu svg math object canvas audio video map datalist fieldset legend search".split())
+#: Elements whose text is not shown as text, and parts of forms.
+UNSHOWN = RAW | frozenset("head form button select option input label dialog svg math object canvas audio video map datalist fieldset legend".split())
+#: Elements named for what stands beside the main text.
+BESIDE = frozenset("nav footer aside menu search".split())
+#: Elements that can be the region of a page's content.
+REGIONS = frozenset("article main section div td body center html".split()) | {""}
+#: How much a value counts under names of boilerplate, and of content.
+MARKED, NAMED = 0.01, 2.0
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of a class or id, split at what is no letter, that mark boilerplate.
 BOILERPLATE = frozenset(
@@ -67,16 +77,18 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 
 @dataclass(slots=True)
 class Element:
-    """An element of the open-element tree; `kept` is false inside boilerplate."""
+    """An element of the open-element tree: `shown` if its text can be seen and is no part of a
+    form, `marked` inside what is named boilerplate, `named` inside what is named content."""
 
     tag: str
     parent: Element | None
     depth: int
     step: str = ""
-    kept: bool = True
+    shown: bool = True
+    marked: bool = False
+    named: bool = False
     linked: bool = False
     header: bool = False
-    semantic: int = 0
     mass: float = 0.0
 
     def path(self) -> tuple[str, ...]:
@@ -105,15 +117,14 @@ def _words(value: str) -> set[str]:
 
 def _open(tag: str, rest: str, parent: Element | None) -> Element:
     """A new element with what its tag, role, class and id say of it."""
-    at = Element(tag, parent, parent.depth + 1 if parent else 0, tag, parent.kept if parent else True, tag == "a" or bool(parent and parent.linked), bool(parent and parent.header))
-    if tag in DROPPED:
-        at.kept = False
-    if tag == "header":
-        at.header = True
-    if tag == "article":
-        at.semantic = 3
-    elif tag == "main":
-        at.semantic = 2
+    at = Element(tag, parent, parent.depth + 1 if parent else 0, tag)
+    if parent is not None:
+        at.shown, at.marked, at.named, at.linked, at.header = parent.shown, parent.marked, parent.named, parent.linked, parent.header
+    at.shown &= tag not in UNSHOWN
+    at.marked |= tag in BESIDE
+    at.named |= tag in ("article", "main")
+    at.linked |= tag == "a"
+    at.header |= tag == "header"
     if rest and rest.strip(" /\n\t"):
         values = {k.lower(): html_lib.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(rest)}
         names = f"{values.get('class', '')} {values.get('id', '')}".strip()
@@ -124,18 +135,14 @@ def _open(tag: str, rest: str, parent: Element | None) -> Element:
             if said & BOILERPLATE == {"header"}:
                 at.header = True
             elif said & BOILERPLATE and not (said & CONTENT and not said & PLAIN):
-                at.kept = False
-            elif not at.semantic and (said & CONTENT or values.get("itemprop") == "articlebody") and tag in ("div", "section", "td"):
-                at.semantic = 1
+                at.marked = True
+            elif (said & CONTENT or values.get("itemprop") == "articlebody") and tag in ("div", "section", "td"):
+                at.named = True
         role = values.get("role", "").lower()
-        if role in ROLES and tag != "article":
-            at.kept = False
-        elif role == "main":
-            at.semantic = 2
-        elif role == "article":
-            at.semantic = 3
+        at.marked |= role in ROLES and tag != "article"
+        at.named |= role in ("main", "article")
         if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I):
-            at.kept = False
+            at.shown = False
     return at
 
 
@@ -201,7 +208,7 @@ def _alike(a: tuple[str, ...], b: tuple[str, ...]) -> float:
 
 
 def score(nodes: list[Node], width: int = 2) -> None:
-    """Sets each node's smoothed and fused value of its path."""
+    """Sets each node's smoothed and fused value of its path, weighed by names."""
     paths = [n.element.path() for n in nodes]
     sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     for n, p in zip(nodes, paths, strict=True):
@@ -217,28 +224,34 @@ def score(nodes: list[Node], width: int = 2) -> None:
         for j in range(max(0, i - width), min(len(nodes), i + width + 1)):
             w = near[abs(i - j)] * _alike(paths[i], paths[j])
             a, b, total = a + w * length[j], b + w * points[j], total + w
-        n.score = a / total * (1 + b / total) if total else 0.0
+        fused = a / total * (1 + b / total) if total else 0.0
+        n.score = fused * (MARKED if _marked(n) else NAMED if n.element.named else 1.0)
 
 
-def _container(chosen: list[Node]) -> Element | None:
-    """The element that holds the main text, given the content nodes."""
+def _marked(n: Node) -> bool:
+    """Named boilerplate, or in a header and no heading of an article's own one."""
+    return n.element.marked or n.element.header and not _heading(n.element)
+
+
+def content(nodes: list[Node], share: float = 0.5) -> list[Node]:
+    """The scored nodes that reach `share` of the standard deviation of all values, at least the
+    best; none on a page of nothing but marked links."""
+    mean = sum(n.score for n in nodes) / len(nodes)
+    spread = math.sqrt(sum((n.score - mean) ** 2 for n in nodes) / len(nodes))
+    line = min(share * spread, max(n.score for n in nodes))
+    return [n for n in nodes if n.score >= line and (n.score > 0 or not _marked(n))]
+
+
+def region(chosen: list[Node], hold: float = 0.9) -> Element:
+    """The deepest element that can be a region and holds `hold` of the chosen nodes' text."""
     total = sum(n.size for n in chosen)
     for n in chosen:
         at = n.element
         while at is not None:
             at.mass += n.size
             at = at.parent
-    best = None
-    for n in chosen:
-        at = n.element
-        while at is not None:
-            if at.semantic and at.mass >= 0.5 * total and (best is None or (at.semantic, at.depth) > (best.semantic, best.depth)):
-                best = at
-            at = at.parent
-    if best is not None:
-        return best
-    at = max(chosen, key=lambda n: n.size).element  # no semantic container: climb until most is inside
-    while at.parent is not None and (at.mass < 0.9 * total or at.tag not in ("div", "section", "td", "body", "center", "html", "")):
+    at = max(chosen, key=lambda n: n.size).element
+    while at.parent is not None and (at.mass < hold * total or at.tag not in REGIONS):
         at = at.parent
     return at
 
@@ -252,36 +265,34 @@ def _inside(at: Element, top: Element) -> bool:
 def extract(page: str | None, share: float = 0.5) -> str:
     """Main text of a page: blocks in page order joined by one line feed. Null, empty and
     text-free pages give the empty string. White space (str.split's) inside a block is one
-    space; `<br>` is white space."""
+    space; `<br>` is white space. Of equal values all are content nodes."""
     if not page:
         return ""
-    kept = [n for n in parse(page) if n.element.kept and not (n.element.header and not _heading(n.element))]
-    judged = [n for n in kept if n.text.strip()]
+    shown = [n for n in parse(page) if n.element.shown]
+    judged = [n for n in shown if n.text.strip()]
     if not judged:
         return ""
     score(judged)
-    mean = sum(n.score for n in judged) / len(judged)
-    spread = math.sqrt(sum((n.score - mean) ** 2 for n in judged) / len(judged))
-    line = min(share * spread, max(n.score for n in judged))
-    chosen = [n for n in judged if n.score >= line]
-    top = _container(chosen)
-    open_page = top.tag in ("", "html", "body")
+    chosen = content(judged, share)
+    if not chosen:
+        return ""
+    best, top = {id(n) for n in chosen}, region(chosen)
     links: dict[int, list[int]] = defaultdict(lambda: [0, 0])
     for n in judged:
         links[n.block][n.element.linked] += n.size or 1
     blocks: dict[int, list[str]] = {}
-    for n in kept:
-        if _inside(n.element, top) and not (open_page and links[n.block][1] > links[n.block][0]):
+    for n in shown:
+        if _inside(n.element, top) and (id(n) in best or not _marked(n) and not (top.tag in ("", "html", "body") and links[n.block][1] > links[n.block][0])):
             blocks.setdefault(n.block, []).append(n.text)
     return "\n".join(line for parts in blocks.values() if (line := " ".join("".join(parts).split())))
 
 
 def _heading(at: Element | None) -> bool:
-    """In a heading of an article's own header."""
+    """In a heading of a header that stands in named content."""
     inside = False
     while at is not None:
         inside |= at.tag in HEADINGS
-        if at.semantic:
+        if at.tag in ("article", "main") or at.named and not (at.parent and at.parent.named):
             return inside
         at = at.parent
     return False
