@@ -6,11 +6,15 @@ universe that level 1 wrongly accepts; level 3 the listed keys that level 2 acce
 on until a level has no false positives left. A key is listed if the number of leading
 levels that accept it is odd.
 
+The keys are hosts. A list names hosts, and a listed host holds for its subdomains too, so a url's
+keys are the trailing parts of its host, up to as many labels as the longest listed host has. The
+universe is all keys of all urls of the corpus.
+
 Scale: keys are reduced to distinct 128-bit hashes first, so a host with a third of all rows
 counts once. Every level is one distributed pass that makes (word, bits) pairs, combined by
 bit_or; only the finished words come to the driver, and their size is known beforehand from
-the key counts. Beyond `max_filter_bytes` nothing is broadcast and a left semi join on the
-distinct listed keys answers instead.
+the key counts. Beyond `max_filter_bytes` nothing is broadcast and a join of the distinct hosts
+with the listed keys answers instead.
 """
 
 from __future__ import annotations
@@ -32,8 +36,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (action, host, path), as the contract of op3 states them.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-#: Words that put a host on the list if one of its parts (split at dots and hyphens) equals one.
-LISTED_WORDS = ["ads", "adult", "bets", "casino", "loans", "pills", "poker", "porn", "spam", "viagra", "warez", "xxx"]
+#: The list of the query: hosts that are blocked with their subdomains.
+LISTED_HOSTS = [
+    "ads-track.example.com", "ads-track.example.net", "ads-track.example.org", "adult-x.example.com", "adult-x.example.net", "adult-x.example.org",
+    "casino-win.example.com", "casino-win.example.net", "casino-win.example.org", "cheap-pills.example.com", "cheap-pills.example.net", "cheap-pills.example.org",
+    "free-bets.example.com", "free-bets.example.net", "free-bets.example.org", "spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org",
+]
 
 MAX_LEVELS = 64
 
@@ -163,49 +171,71 @@ def _accepted(keys: DataFrame, levels: list[Level]) -> int:
     return _side(keys, levels).select("a", "b").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def is_listed(spark: SparkSession, levels: list[Level], key: Column) -> Column:
-    """Boolean column: exact for every key of the universe that the cascade was built over."""
+def is_listed(spark: SparkSession, levels: list[Level], keys: Column) -> Column:
+    """Boolean column: whether any key of an array is listed; exact for every key of the universe
+    that the cascade was built over. An empty array is not."""
     shared = spark.sparkContext.broadcast(levels)
 
     @F.pandas_udf("boolean")
     def test(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(leading(shared.value, _u64(a), _u64(b)) % 2 == 1)
+        sizes = a.map(len).to_numpy(np.int64)
+        if not sizes.sum():
+            return pd.Series(np.zeros(len(a), bool))
+        hit = leading(shared.value, _u64(np.concatenate(a.to_list())), _u64(np.concatenate(b.to_list()))) % 2 == 1
+        found = np.zeros(len(a), bool)
+        found[np.repeat(np.arange(len(a)), sizes)[hit]] = True
+        return pd.Series(found)
+
+    return test(F.transform(keys, lambda k: key_hashes(k)[0]), F.transform(keys, lambda k: key_hashes(k)[1]))
+
+
+def trailing(host: Column, labels: int) -> Column:
+    """The distinct last 1, 2, ... `labels` labels of a host, the host itself where it has fewer."""
+    return F.array_distinct(F.array(*(F.substring_index(host, ".", -i) for i in range(1, labels + 1))))
 
-    return test(*key_hashes(F.coalesce(key.cast("string"), F.lit(""))))
 
+def _free(names: list[str], wish: str) -> str:
+    """A column name that is not among `names`."""
+    while wish in names:
+        wish += "_"
+    return wish
 
-def filter_urls(pages: DataFrame, listed: Column, url: str = "url", rules: list[tuple[str, str, str]] = RULES, max_filter_bytes: int = 64 << 20) -> DataFrame:
+
+def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = RULES, max_filter_bytes: int = 64 << 20) -> DataFrame:
     """Every row of `pages` with host, path, rule and verdict added.
 
-    `listed` is a boolean column over `host` that names the listed hosts. A null url or one
-    without `://` has an empty host and path. Columns of `pages` named like an added column
-    are replaced. Repeated rows stay; an empty table gives an empty result."""
+    `listed` has the listed hosts in a column `host`, of any size; null and empty ones are left
+    out, letter case does not count. A null url or one without `://` has an empty host and path.
+    Columns of `pages` named like an added column are replaced. Repeated rows stay; an empty table
+    gives an empty result."""
     added = ("host", "path", "rule", "verdict")
-    rows = pages.select(F.col(url).alias("__url"), *(F.col(c) for c in pages.columns if c not in added))
-    rows = rows.withColumn("host", host_of(F.col("__url"))).withColumn("path", path_of(F.col("__url"))).drop("__url")
-    hosts = rows.select("host").distinct().withColumn("listed", listed)
-    levels = build_cascade(hosts, "host", "listed", max_filter_bytes=max_filter_bytes)
+    at = F.col(f"`{url}`")
+    rows = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in added), host_of(at).alias("host"), path_of(at).alias("path"))
+    names = listed.select(F.translate("host", UPPER, LOWER).alias("k")).where("k <> ''").distinct()
+    labels = names.agg(F.coalesce(F.max(F.size(F.split("k", "[.]"))), F.lit(1))).first()[0]
+    hosts = rows.select("host").distinct()
+    keys = hosts.select(F.explode(trailing(F.col("host"), labels)).alias("k"), F.lit(False).alias("listed"))
+    levels = build_cascade(keys.unionByName(names.withColumn("listed", F.lit(True))), "k", "listed", max_filter_bytes=max_filter_bytes)
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     if levels is None:
-        rows = rows.join(hosts.where("listed").select("host", F.lit(True).alias("__hit")), "host", "left")
-        hit = F.col("__hit").isNotNull()
-    else:
-        hit = is_listed(pages.sparkSession, levels, F.col("host"))
-    return rows.withColumn("rule", rule).withColumn("verdict", F.coalesce(action, F.when(hit, "block").otherwise("allow"))).drop("__hit")
-
-
-def listed_hosts(words: list[str] = LISTED_WORDS) -> Column:
-    """Hosts with one of the words as a part."""
-    return F.col("host").rlike(f"(^|[.-])({'|'.join(words)})([.-]|$)")
+        own, mark = _free(rows.columns, "listed_host"), _free(rows.columns, "listed_mark")
+        hit_hosts = hosts.select(F.col("host").alias(own), F.explode(trailing(F.col("host"), labels)).alias("k")).join(names, "k", "left_semi").select(own).distinct().withColumn(mark, F.lit(True))
+        rows = rows.join(hit_hosts, F.col("host") == F.col(f"`{own}`"), "left").drop(own)
+        hit = F.col(f"`{mark}`").isNotNull()
+        return rows.withColumn("rule", rule).withColumn("verdict", F.coalesce(action, F.when(hit, "block").otherwise("allow"))).drop(mark)
+    hit = is_listed(pages.sparkSession, levels, trailing(F.col("host"), labels))
+    return rows.withColumn("rule", rule).withColumn("verdict", F.coalesce(action, F.when(hit, "block").otherwise("allow")))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts for every page: page_id, host, path, rule, verdict."""
-    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed_hosts()).select("page_id", "host", "path", "rule", "verdict")
+    listed = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "host string")
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP3_SQL = rf"""
-WITH parts AS (
+WITH listed(name) AS (VALUES {', '.join(f"('{h}')" for h in LISTED_HOSTS)}),
+parts AS (
   SELECT page_id,
          translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{UPPER}', '{LOWER}') AS host,
          coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
@@ -220,7 +250,7 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host, '(^|[.-])({'|'.join(LISTED_WORDS)})([.-]|$)') THEN 'block'
+    WHEN EXISTS (SELECT 1 FROM listed WHERE host = name OR ends_with(host, '.' || name)) THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled
 """
