@@ -26,6 +26,7 @@ import base64
 import math
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,17 @@ SPECIAL = "<|endoftext|>"
 _encoders: dict[str, object] = {}
 
 
+@cache
+def ordinary(vocabulary: str):
+    """The encoding of a file of ranks; what spells a special token is ordinary text."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def encoder(vocabulary: str = VOCABULARY):
     """A function from a text to its ids, equal to the tokenizer file's own encoding.
 
@@ -47,13 +59,9 @@ def encoder(vocabulary: str = VOCABULARY):
     token is left to the tokenizer file itself."""
     if vocabulary not in _encoders:
         import public_tokenizers
-        import tiktoken
         from tokenizers import Tokenizer
 
-        with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        slow: list = []
+        fast, slow = ordinary(vocabulary), []
 
         def encode(text: str) -> list[int]:
             if SPECIAL not in text:

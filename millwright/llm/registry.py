@@ -22,7 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
-    "op2_token_rollup": token_rollup.OP2_SQL,
     "op3_url_filter": url_filter.OP3_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }

@@ -9,19 +9,26 @@ reader sees a batch wholly or not at all.
 Commits are idempotent. A batch is written to a folder of its own and then renamed to
 `batch=<id>`; the rename is the commit. A batch id that is there already is left as it is, so
 a job may send a batch again after any failure. `compact` folds batches into one base row set
-under the same rule. All file work goes through Spark's file systems, so the store may be any
-that Spark reads.
+under the same rule. All file work goes through Spark's file systems, and the store must rename a
+folder atomically, as HDFS and POSIX file systems do and object stores do not: there, keep the
+folder on such a file system or behind a store layer that has the rename.
+
+Tokenizer versions are names. Those of the query are two vocabulary files, run by their own
+library, and the plain count of words.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millwright.llm.packing import ordinary
 from millwright.session import staged, table, work_folder
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -30,34 +37,42 @@ DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
 BATCH = re.compile(r"[A-Za-z0-9_.-]+")
 
 
-def words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-
-
-def letter_runs(text: Column) -> Column:
-    """Runs of ASCII letters, runs of ASCII digits, and every other character but white space."""
-    return F.regexp_count(text, F.lit(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]")).cast("long")
+def word_count(text: str) -> int:
+    """Runs of characters but space and \\t to \\r."""
+    return len(text.encode("utf-8", "surrogatepass").split())
 
 
-def utf8_bytes(text: Column) -> Column:
-    return F.octet_length(F.encode(text, "UTF-8")).cast("long")
+def token_count(vocabulary: str) -> Callable[[str], int]:
+    """Ids of a text under a vocabulary file, special tokens' names being ordinary text."""
+    return lambda text: len(ordinary(vocabulary).encode_ordinary(text))
 
 
-#: Tokenizer versions by name: a count as a column over a text. Counts run in the JVM.
-TOKENIZERS = {"words/1": words, "runs/1": letter_runs, "bytes/1": utf8_bytes}
+#: Tokenizer versions by name: a count of a text's tokens. A new version is a new name.
+TOKENIZERS: dict[str, Callable[[str], int]] = {"byte_bpe_50k/1": token_count("byte_bpe_50k"), "byte_bpe_multi_50k/1": token_count("byte_bpe_multi_50k"), "words/1": word_count}
 
 
-def counted(docs: DataFrame, text: str = "text", tokenizers: dict = TOKENIZERS, revision: Column | None = None) -> DataFrame:
+def counted(docs: DataFrame, text: str = "text", tokenizers: dict[str, Callable[[str], int]] = TOKENIZERS, revision: Column | None = None) -> DataFrame:
     """One row (doc_id, source, lang, tokenizer, tokens) for each row of `docs` and tokenizer.
     Null sources and languages are keys like others (''); a null text has no tokens.
 
     With a `revision` of the text there are two more columns: whether it differs from the text,
-    and its tokens. Texts are read once and do not leave their task."""
+    and its tokens. Texts are read once and do not leave their task; one that does not change is
+    counted once."""
     t = F.coalesce(F.col(text), F.lit(""))
-    new = t if revision is None else F.coalesce(revision, F.lit(""))
-    each = F.array(*(F.struct(F.lit(name).alias("tokenizer"), count(t).alias("tokens"), count(new).alias("revised")) for name, count in tokenizers.items()))
+    new = F.lit(None).cast("string") if revision is None else F.nullif(F.coalesce(revision, F.lit("")), t)
     key = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in docs.columns else F.lit("").alias(c) for c in ("source", "lang")]
-    rows = docs.select("doc_id", *key, (t != new).alias("changed"), F.explode(each).alias("e")).select("doc_id", "source", "lang", "e.tokenizer", "e.tokens", "changed", "e.revised")
+    rows = docs.select("doc_id", *key, t.alias("t"), new.alias("new"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, news = b["t"].to_pylist(), b["new"].to_pylist()
+            for name, count in tokenizers.items():
+                before = [count(x) for x in texts]
+                after = [n if x is None else count(x) for n, x in zip(before, news, strict=True)]
+                own = [pa.array([name] * len(before)), pa.array(before, pa.int64()), pa.array([x is not None for x in news]), pa.array(after, pa.int64())]
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], b["lang"], *own], names=["doc_id", "source", "lang", "tokenizer", "tokens", "changed", "revised"])
+
+    rows = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, source string, lang string, tokenizer string, tokens long, changed boolean, revised long")
     return rows.drop("changed", "revised") if revision is None else rows
 
 
@@ -184,14 +199,3 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("0002-toxic", gone)
     rollup.compact()
     return rollup.totals()
-
-
-OP2_SQL = r"""
-WITH gone AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
-kept AS (SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, regexp_replace(coalesce(text, ''), '[%$#*&]{3,}', '', 'g') AS text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM gone WHERE doc_id IS NOT NULL) OR doc_id IS NULL),
-counted AS (
-  SELECT source, lang, 'words/1' AS tokenizer, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens FROM kept
-  UNION ALL SELECT source, lang, 'runs/1', len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) FROM kept
-  UNION ALL SELECT source, lang, 'bytes/1', octet_length(encode(text)) FROM kept)
-SELECT source, lang, tokenizer, count(*) AS docs, sum(tokens)::BIGINT AS tokens FROM counted GROUP BY ALL
-"""
