@@ -6,8 +6,9 @@ its L1 term leaves all but the telling coordinates at exactly zero, so the model
 sparse vector: at most 2^`bits` weights, broadcast whatever the corpus.
 
 Training takes a bounded sample: the `most_rows` labels with the smallest hash of their doc_id
-(all, if there are fewer), without texts of more than `longest` characters; their features are
-made in parallel and one task learns from them, `epochs` times in hash order. The sample is
+(all, if there are fewer), and of their rows the `most_rows` first in that order, without texts of
+more than `longest` characters; rows that repeat an id with its text count once. Their features
+are made in parallel and one task learns from them, `epochs` times in hash order. The sample is
 the only bound; scoring reads every row and every word. Memory is one Arrow batch of texts and
 the model, and in the learning task the features of the sample.
 """
@@ -82,11 +83,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
     sample = known.orderBy(order, "doc_id").limit(most_rows)  # most_rows narrow rows
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), "doc_id").where(F.length("t") <= longest)
+    rows = rows.select(order.alias("o"), F.xxhash64("t").alias("h"), "y", "t")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [features(t.as_py(), bits).astype(np.int32) for t in b["t"]]
-            yield pa.RecordBatch.from_arrays([b["o"], b["y"], pa.array(own, pa.list_(pa.int32()))], names=["o", "y", "at"])
+            yield pa.RecordBatch.from_arrays([b["o"], b["h"], b["y"], pa.array(own, pa.list_(pa.int32()))], names=["o", "h", "y", "at"])
 
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [(int(y.as_py()), np.asarray(at.values)) for b in batches for y, at in zip(b["y"], b["at"], strict=True)]
@@ -100,8 +102,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["at", "w"])
 
-    ready = rows.select(order.alias("o"), "y", "t").mapInArrow(made, "o long, y int, at array<int>")
-    model = ready.repartition(1).sortWithinPartitions("o", "y", F.xxhash64("at")).select("y", "at").mapInArrow(learnt, "at long, w double").toPandas()
+    ready = rows.mapInArrow(made, "o long, h long, y int, at array<int>").dropDuplicates(["o", "h"])
+    model = ready.orderBy("o", "h").limit(most_rows).coalesce(1).select("y", "at").mapInArrow(learnt, "at long, w double").toPandas()
     if model.empty:  # no row was labelled, so nothing was learnt
         return np.array([2**bits]), np.array([-35.0])
     return model["at"].to_numpy(np.int64), model["w"].to_numpy(np.float64)
