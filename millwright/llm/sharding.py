@@ -144,8 +144,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16) -> Da
     rows = staged(docs.select("doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("text_key")), "shard-rows")
     groups = staged(rows.groupBy("text_key").agg(F.sum("size").alias("bytes")), "shard-groups")
     placed = rows.join(balanced(groups, "text_key", "bytes", shards), "text_key")
-    placed = staged(placed.select("doc_id", "size", "text_crc32", "text_key", F.col("shard").cast("int").alias("shard")), "shard-placed")
-    return numbered(placed, "shard", [F.col("doc_id"), F.col("text_key")], F.xxhash64("doc_id", "text_key"), "slot")
+    # `row` is fixed once it is written; it deals equal rows to different cells.
+    placed = staged(placed.select("doc_id", "size", "text_crc32", "text_key", F.col("shard").cast("int").alias("shard"), F.monotonically_increasing_id().alias("row")), "shard-placed")
+    return numbered(placed, "shard", [F.col("doc_id"), F.col("text_key"), F.col("row")], F.xxhash64("row"), "slot").drop("row")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
