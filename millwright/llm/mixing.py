@@ -17,8 +17,8 @@ that spreads each source evenly over it.
 
 The bisection runs inside the query over one row that holds the source totals, which grows
 with the number of sources, not of documents. Documents only ever meet in blocks of about
-`block_tokens` tokens, and one row for each block meets in a source's running sum, so a source
-with a third of all rows is no single task's.
+`block_tokens` tokens, and a source's blocks are summed in 4,096 cells before one row for each cell
+meets in its running sum, so a source with a third of all rows is no single task's.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from millwright.session import staged, table
 STEPS = 40
 #: The largest place in a mixture.
 LAST = 0.999999999
+#: Hexadecimal digits that tell the cells of a source's blocks: 4,096 of them.
+CELL = 3
 
 
 def word_count(text: Column) -> Column:
@@ -95,9 +97,14 @@ def drawn(units: DataFrame, weights: DataFrame, block_tokens: int = 1 << 17, see
     dealt = known.withColumn("block", F.pmod(number, F.ceil(size / F.lit(block_tokens)).cast("long")))
     sums = staged(dealt.groupBy("source", "block").agg(F.sum("tokens").alias("size"), F.max("all_tokens").alias("all_tokens"), F.max("budget").alias("budget")), "mixing-blocks")
     last = F.greatest(F.lit(0), F.ceil(F.col("budget") / size).cast("int") - 1)
-    passes = sums.select("*", F.explode(F.sequence(F.lit(0), last)).alias("pass"))
-    ordered = Window.partitionBy("source", "pass").orderBy(draw(F.lit(f"pass{seed}"), F.col("pass"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
-    begin = passes.select("source", "block", "pass", "budget", "all_tokens", (F.col("pass") * F.col("all_tokens") + F.coalesce(F.sum("size").over(ordered), F.lit(0))).alias("begin"))
+    # Blocks are ordered by a hash; those with one start of it are a cell, and cells are summed first.
+    passes = sums.select("*", F.explode(F.sequence(F.lit(0), last)).alias("pass")).withColumn("at", draw(F.lit(f"pass{seed}"), F.col("pass"), F.col("block"))).withColumn("cell", F.substring("at", 1, CELL))
+    cells = passes.groupBy("source", "pass", "cell").agg(F.sum("size").alias("cell_size"))
+    earlier = F.sum("cell_size").over(Window.partitionBy("source", "pass").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select("source", "pass", "cell", F.coalesce(earlier, F.lit(0)).alias("first"))
+    ordered = Window.partitionBy("source", "pass", "cell").orderBy("at", "block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = passes.withColumn("inside", F.coalesce(F.sum("size").over(ordered), F.lit(0))).join(cells, ["source", "pass", "cell"])
+    begin = inside.select("source", "block", "pass", "budget", "all_tokens", (F.col("pass") * F.col("all_tokens") + F.col("first") + F.col("inside")).alias("begin"))
     begin = begin.where((F.col("begin") < F.col("budget")) | (F.col("pass") == 0))
     each = dealt.drop("budget", "all_tokens").join(begin, ["source", "block"])
     inside = Window.partitionBy("source", "block", "pass").orderBy(draw(F.lit(f"row{seed}"), F.col("pass"), key), "row").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,7 +151,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = rf"""
 WITH RECURSIVE rows_ AS (
   SELECT doc_id, md5(coalesce(text, '')) AS digest, coalesce(source, '') AS source,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS tokens FROM documents),
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS tokens FROM documents),
 units AS (
   SELECT doc_id, digest, source, count(*) AS copies, sum(tokens)::BIGINT AS tokens,
          concat_ws('|', coalesce(doc_id::VARCHAR, ''), digest, source) AS row_ FROM rows_ GROUP BY doc_id, digest, source),
