@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -40,14 +41,14 @@ from pyspark.sql import types as T
 from millwright.session import staged, table
 
 LIMIT, SEED = 4, 42
-#: Seeds of the fingerprints over distinct words.
-SEEDS = (1, 2, 3)
 #: (first bit, bits) of the segments.
 SEGMENTS = [(0, 22), (22, 21), (43, 21)]
 #: Hashes voted on at once, which bounds the memory of a very long text.
 BLOCK = 1 << 16
-#: Rounds of linear size before all pairs; frequent shingles that are kept to order the others.
-ROUNDS, COMMON = 3, 1 << 17
+#: Frequent shingles that are kept to order the others; longs of a parity map.
+COMMON, WIDE = 1 << 17, 8
+#: Rows of a narrow table that is sent to all tasks; a larger one is joined by a shuffle.
+SMALL = 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -157,10 +158,10 @@ def stars(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large, "stars")
+        large = staged(large, "stars", instead_of=now)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = staged(small.where("u != v").distinct(), "stars")
+        now = staged(small.where("u != v").distinct(), "stars", instead_of=large)
 
 
 def components(prints: DataFrame) -> DataFrame:
@@ -190,19 +191,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 4) -> DataF
     return grouped(docs, text, size).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component.doc_id").alias("component_id"))
 
 
-def word_prints(words: list[bytes], seeds: tuple[int, ...] = SEEDS) -> list[int]:
-    """One fingerprint for each seed over the distinct words; 0 without words."""
-    own = sorted(set(words))
-    out = []
-    for seed in seeds:
-        votes = np.zeros(64, np.int64)
-        for at in range(0, len(own), BLOCK):
-            hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in own[at : at + BLOCK]], "<u8")
-            votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(votes * 2 > len(own), bitorder="little").view("<u8")[0]))
-    return out
-
-
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of the `size`-word shingles of a text; of the whole sequence where
     there are fewer words; none without words."""
@@ -230,39 +218,62 @@ def frequent(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndar
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
-def prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
     """The first shingles in one order of all shingles, rarest first, so many that two sets with
-    the given Jaccard similarity share one of them; 0 for the empty set."""
+    the given Jaccard similarity share one of them, and how many of these are not among the
+    `common` ones; 0 for the empty set."""
     n = len(shingles)
     if not n:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int64), 1
     hashes, counts = common
     rank = np.zeros(n, np.int64)
     if len(hashes):
         at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
         rank = np.where(hashes[at] == shingles, counts[at], 0)
-    return shingles[np.lexsort((shingles, rank))][: n - math.ceil(similarity * n - 1e-9) + 1]
+    order = np.lexsort((shingles, rank))[: n - math.ceil(similarity * n - 1e-9) + 1]
+    return shingles[order], int((rank[order] == 0).sum())
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A map of 64 * `WIDE` bits, each the parity of the shingles that fall on it. Two sets' maps
+    differ in no more bits than the sets do in shingles."""
+    bits = np.bincount((shingles.view(np.uint64) >> np.uint64(40)).astype(np.int64) % (64 * WIDE), minlength=64 * WIDE) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """How many shingles fall into each of 256 classes; the sum of the lesser counts of two sets
-    is never below what they share."""
-    return np.bincount(shingles.view(np.uint64).astype(np.uint8), minlength=256).astype("<u4").tobytes()
+def _sent(rows: DataFrame) -> DataFrame:
+    """A narrow staged table, to be broadcast if it has at most `SMALL` rows."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of `pairs` (x, y) whose sets are similar: bounded by sketches, then counted."""
+def _likely(x: dict[str, Column], y: dict[str, Column], similarity: float, mapped: bool = True) -> Column:
+    """Whether two sets that meet under a key can be similar: what is left of both from the first
+    shingle they share on, and the parity maps, bound what they share."""
+    both = x["n"] + y["n"]
+    enough = F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= both * (similarity / (1 + similarity)) - 1e-9
+    if not mapped:
+        return enough
+    apart = reduce(lambda a, b: a + b, (F.bit_count(x[f"b{k}"].bitwiseXOR(y[f"b{k}"])) for k in range(WIDE)))
+    return enough & (apart <= both * ((1 - similarity) / (1 + similarity)) + 1e-9)
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _verified(pairs: DataFrame, docs: DataFrame, text: str, units: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those of `pairs` (x, y) whose whole shingle sets are similar, as (a, b)."""
+    pairs = staged(pairs, "similar-pairs")
+    wanted = staged(pairs.select(F.col("x").alias("digest")).unionByName(pairs.select(F.col("y").alias("digest"))).distinct(), "similar-wanted")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                k, l = (np.frombuffer(b"".join(b[c].to_pylist()), "<u4").reshape(-1, 256).astype(np.int64) for c in ("kx", "ky"))
-                most = np.minimum(k, l).sum(axis=1)
-                yield b.select(["x", "y"]).filter(pa.array(most >= similarity * (k.sum(axis=1) + l.sum(axis=1) - most)))
-
-    side = lambda c, v, to: sets.select(F.col("digest").alias(c), F.col(v).alias(to))
-    likely = staged(pairs.join(side("x", "sketch", "kx"), "x").join(side("y", "sketch", "ky"), "y").select("x", "y", "kx", "ky").mapInArrow(bounded, "x long, y long"), "similar-likely")
-    both = likely.join(side("x", "shingles", "sx"), "x").join(side("y", "shingles", "sy"), "y").select("x", "y", F.size(F.array_intersect("sx", "sy")).alias("n"), (F.size("sx") + F.size("sy")).alias("total"))
+            yield pa.RecordBatch.from_arrays([b["digest"], pa.array([shingle_set(x.as_py(), size) for x in b["t"]], pa.list_(pa.int64()))], names=["digest", "shingles"])
+
+    # One row of each wanted text, told by its smallest document; equal rows give equal sets.
+    chosen = staged(units.join(wanted, "digest").select(F.col("digest").alias("__digest"), F.col("first.doc_id").alias("__id")), "similar-chosen")
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.xxhash64(t).alias("digest"), "doc_id", t.alias("t"))
+    rows = rows.join(_sent(chosen), (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("digest", "t").dropDuplicates(["digest"])
+    sets = staged(rows.mapInArrow(shingled, "digest long, shingles array<long>"), "similar-shingles")
+    side = lambda c, to: sets.select(F.col("digest").alias(c), F.col("shingles").alias(to))
+    both = pairs.join(side("x", "sx"), "x").join(side("y", "sy"), "y").select("x", "y", F.size(F.array_intersect("sx", "sy")).alias("n"), (F.size("sx") + F.size("sy")).alias("total"))
     return staged(both.where(F.col("n") >= similarity * (F.col("total") - F.col("n"))).select(F.col("x").alias("a"), F.col("y").alias("b")), "similar-links")
 
 
@@ -272,70 +283,79 @@ def similar(docs: DataFrame, text: str = "text", size: int = 5, similarity: floa
     their `size`-word shingles.
 
     The search is exact. Texts are indexed under their rarest shingles (`prefix`), under which
-    every two similar texts meet. First each text is compared with one other it meets, `ROUNDS`
-    times, which links most of a large group in linear size; then every two texts that meet, are
-    not of one component yet and whose sizes allow it are compared on the whole sets."""
+    every two similar texts meet. First each text is compared with the heads of its keys: the text
+    there with the fewest rarer shingles, which in a group of near copies is the one they were made
+    of, and one by hash. That links most of a large group in linear size. Then every two texts that
+    meet, are not of one component yet and that `_likely` does not tell apart inside the join are
+    compared on the whole sets.
+
+    A key of a frequent shingle may hold a third of all texts: its head is an aggregate joined
+    back, and no window."""
     kind = dict(docs.dtypes)["doc_id"]
     t = F.coalesce(F.col(text), F.lit(""))
     common = frequent(docs, text, size)
+    maps = [f"b{k}" for k in range(WIDE)]
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(x.as_py(), size) for x in b["t"]]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(x) for x in sets], pa.int64()), pa.array([prefix(x, similarity, common) for x in sets], pa.list_(pa.int64()))], names=[*b.schema.names[:-1], "n", "keys"])
+            keys = [prefix(x, similarity, common) for x in sets]
+            bits = np.array([parity(x) for x in sets], np.int64).reshape(-1, WIDE)
+            own = [pa.array([len(x) for x in sets], pa.int64()), pa.array([k for k, _ in keys], pa.list_(pa.int64())), pa.array([c for _, c in keys], pa.int32()), *(pa.array(bits[:, k]) for k in range(WIDE))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *own], names=[*b.schema.names[:-1], "n", "keys", "cold", *maps])
 
-    own = docs.select("doc_id", F.xxhash64(t).alias("digest"), t.alias("t")).mapInArrow(indexed, f"doc_id {kind}, digest long, n long, keys array<long>")
+    own = docs.select("doc_id", F.xxhash64(t).alias("digest"), t.alias("t")).mapInArrow(indexed, f"doc_id {kind}, digest long, n long, keys array<long>, cold int, {', '.join(f'{b} long' for b in maps)}")
     own = staged(own, "similar-prefixes")
     ident = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("digest"))
-    units = staged(own.groupBy("digest").agg(F.min(ident).alias("first")), "similar-texts")
-    key = Window.partitionBy("key")
-    keyed = own.select(F.explode("keys").alias("key"), "digest", "n").repartition("key").dropDuplicates(["key", "digest"])
-    met = staged(keyed.withColumn("many", F.count("*").over(key)).where("many > 1").drop("many"), "similar-met")
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(x.as_py(), size) for x in b["t"]]
-            yield pa.RecordBatch.from_arrays([b["digest"], pa.array([sketch(x) for x in sets]), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "sketch", "shingles"])
-
-    # One row of each wanted text, told by its smallest document; equal rows give equal sets.
-    chosen = units.join(met.select("digest").distinct(), "digest").select(F.col("digest").alias("__digest"), F.col("first.doc_id").alias("__id"))
-    sets = docs.select(F.xxhash64(t).alias("digest"), "doc_id", t.alias("t"))
-    sets = sets.join(chosen, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("digest", "t").dropDuplicates(["digest"])
-    sets = staged(sets.mapInArrow(shingled, "digest long, sketch binary, shingles array<long>"), "similar-shingles")
-
-    found = met.select(F.col("digest").alias("a"), F.col("digest").alias("b")).where("false")
-    roots = found.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    for turn in range(ROUNDS + 1):
-        rows = met.join(roots, F.col("digest") == F.col("node"), "left").select("key", "digest", "n", F.coalesce("root", "digest").alias("label"))
-        rows = rows.withColumn("apart", F.min("label").over(key) < F.max("label").over(key)).where("apart").drop("apart")
-        if turn < ROUNDS:
-            head = F.min(F.struct(F.xxhash64("digest", F.lit(turn)), "digest", "label", "n")).over(key)
-            asked = rows.withColumn("head", head).where((F.col("label") != F.col("head.label")) & _sizes("n", "head.n", similarity))
-            pairs = asked.groupBy("digest", F.col("head.digest").alias("y")).count().groupBy(F.col("digest").alias("x")).agg(F.max(F.struct("count", "y"))["y"].alias("y"))
-        else:
-            rows = staged(rows, "similar-rest")
-            other = rows.select("key", F.col("digest").alias("y"), F.col("n").alias("m"), F.col("label").alias("l"))
-            pairs = rows.withColumnRenamed("digest", "x").join(other, "key").where((F.col("x") < F.col("y")) & (F.col("label") != F.col("l")) & _sizes("n", "m", similarity)).select("x", "y").distinct()
-        found = found.unionByName(_verified(pairs, sets, similarity))
-        roots = staged(stars(found), "similar-roots")
+    units = staged(own.groupBy("digest").agg(F.min(ident).alias("first"), F.count("*").alias("copies")), "similar-texts")
+    copied = staged(units.where("copies > 1").select("digest"), "similar-copied")
+    once = own.join(_sent(copied), "digest", "left_anti").drop("doc_id").unionByName(own.join(_sent(copied), "digest", "left_semi").drop("doc_id").dropDuplicates(["digest"]))
+    once = staged(once, "similar-once")
+
+    def exploded(keys: Column, first: Column) -> DataFrame:
+        rows = once.select("digest", "n", first.alias("first"), F.posexplode(keys).alias("at", "key"))
+        return rows.select("key", "digest", "n", (F.col("first") + F.col("at")).alias("pos"))
+
+    heads = {"deep": F.min(F.struct("pos", F.xxhash64("digest").alias("h"), "digest", "n")), "drawn": F.min(F.struct(F.xxhash64("digest", F.lit(1)).alias("h"), "digest", "n", "pos"))}
+    rare, key = exploded(F.slice("keys", 1, F.col("cold")), F.lit(0)), Window.partitionBy("key")
+    rare = rare.select("*", F.count("*").over(key).alias("many"), *(h.over(key).alias(k) for k, h in heads.items()))
+    often = exploded(F.slice("keys", F.col("cold") + 1, F.size("keys")), F.col("cold"))
+    often = often.join(often.groupBy("key").agg(F.count("*").alias("many"), *(h.alias(k) for k, h in heads.items())), "key").select(rare.columns)
+    near = lambda k: F.when((F.col(f"{k}.digest") != F.col("digest")) & _likely({c: F.col(c) for c in ("n", "pos")}, {c: F.col(f"{k}.{c}") for c in ("n", "pos")}, similarity, False), F.col(f"{k}.digest")).alias(k)
+    met = staged(rare.unionByName(often).where("many > 1").select("key", "digest", "n", "pos", *map(near, heads)), "similar-met")
+
+    asked = met.select(F.col("digest").alias("x"), F.explode(F.array(*(F.struct(F.lit(i).alias("turn"), F.col(k).alias("y")) for i, k in enumerate(heads)))).alias("e")).select("x", "e.*").where("y IS NOT NULL")
+    best = asked.groupBy("x", "turn", "y").count().groupBy("x", "turn").agg(F.max(F.struct("count", "y"))["y"].alias("y")).select("x", "y").distinct()
+    side = lambda c, to: once.select(F.col("digest").alias(c), F.struct("n", F.lit(0).alias("pos"), *maps).alias(to))
+    part = lambda to: {c: F.col(f"{to}.{c}") for c in ("n", "pos", *maps)}
+    pairs = best.join(side("x", "p"), "x").join(side("y", "q"), "y").where(_likely(part("p"), part("q"), similarity)).select("x", "y")
+    found = _verified(pairs, docs, text, units, size, similarity)
+    roots = staged(stars(found), "similar-roots")
+
+    label = met.select("key", "digest", "n", "pos").join(roots, F.col("digest") == F.col("node"), "left").select("key", "digest", "n", "pos", F.coalesce("root", "digest").alias("label"))
+    label = staged(label, "similar-labels")
+    apart = staged(label.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("key"), "similar-apart")
+    rest = label.join(apart, "key", "left_semi").join(once.select("digest", *maps), "digest").select("key", "digest", "n", "pos", "label", *maps)
+    rest = staged(rest, "similar-rest")
+    other = rest.select(F.col("key").alias("key_"), *(F.col(c).alias(f"{c}_") for c in rest.columns[1:]))
+    wide = ("n", "pos", *maps)
+    meets = (F.col("key") == F.col("key_")) & (F.col("digest") < F.col("digest_")) & (F.col("label") != F.col("label_")) & _likely({c: F.col(c) for c in wide}, {c: F.col(f"{c}_") for c in wide}, similarity)
+    pairs = rest.join(other, meets).select(F.col("digest").alias("x"), F.col("digest_").alias("y")).distinct()
+    found = found.unionByName(_verified(pairs, docs, text, units, size, similarity))
+    roots = staged(stars(found), "similar-roots")
     member = staged(units.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "first", F.coalesce("root", "digest").alias("root")), "similar-members")
     component = member.join(member.groupBy("root").agg(F.min("first").alias("component")), "root").select("digest", "component")
     return own.select("doc_id", "digest").join(component, "digest").select("doc_id", "digest", "component")
 
 
-def _sizes(n: str, m: str, similarity: float) -> Column:
-    """Whether two sets of these sizes can be similar."""
-    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
-
-
 def deduplicate(docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each component of `similar`, the one with the smallest doc_id; columns as in
     `docs`."""
     rows = staged(similar(docs, text, size, similarity), "simhash-groups")
     first = F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("digest") == F.col("component.digest"))
-    gone = rows.where(~first).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    gone = staged(rows.where(~first).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct(), "simhash-gone")
     digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_anti")
+    kept = docs.join(_sent(gone), docs["doc_id"].eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_anti")
     repeats = rows.where(first).groupBy("doc_id", "digest").count().where("count > 1")
     return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id", text])
 
