@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,3 +85,11 @@ def staged(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Dat
     if (old := getattr(instead_of, "_staged_at", None)) is not None:
         deleted(spark, old)
     return out
+
+
+def sliced(batches: Iterable, rows: int = 512) -> Iterator:
+    """Arrow batches in parts of at most so many rows, without copying, so that what a Python worker
+    makes of a part, and not of a whole batch, is in memory at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
