@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millwright.session import staged, table
+from millwright.session import sliced, staged, table
 
 VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
@@ -83,7 +83,7 @@ def tokenized(docs: DataFrame, text: str = "text", end: int = 0, vocabulary: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, cell = encoder(vocabulary), TaskContext.get().partitionId()
         seen: dict[str, int] = {}
-        for b in batches:
+        for b in sliced(batches):
             ids = [np.array([*encode(t.as_py()), end], "<u2").tobytes() for t in b["t"]]
             inside = []
             for s, x in zip(b["source"].to_pylist(), ids, strict=True):
@@ -183,9 +183,7 @@ def pack(docs: DataFrame, length: int = 1024, weights: dict[str, float] | None =
     placed = tokens.join(offsets, ["source", "cell"]).select("doc_id", "source", "queue", (F.col("first") + F.col("inside")).alias("before"), "doc_tokens", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in sliced(batches):
             queue, before, size = (b[c].to_numpy().astype(np.int64) for c in ("queue", "before", "doc_tokens"))
             row, start, run, position = schedule.segments(queue, before, size)
             part, window = _runs(position // length, (position + run - 1) // length - position // length + 1)

@@ -38,15 +38,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millwright.session import staged, table
+from millwright.session import sliced, staged, table
 
 LIMIT, SEED = 4, 42
 #: (first bit, bits) of the segments.
 SEGMENTS = [(0, 22), (22, 21), (43, 21)]
 #: Hashes voted on at once, which bounds the memory of a very long text.
 BLOCK = 1 << 16
-#: Frequent shingles that are kept to order the others; longs of a parity map.
-COMMON, WIDE = 1 << 17, 8
+#: Frequent shingles that are kept to order the others; longs of a parity map, and of the same
+#: map folded, which travels with the keys.
+COMMON, WIDE, FOLDED = 1 << 17, 32, 4
 #: Rows of a narrow table that is sent to all tasks; a larger one is joined by a shuffle.
 SMALL = 1 << 20
 
@@ -79,7 +80,7 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = 4, name: str =
     rows = docs.select(*(c for c in docs.columns if c not in (text, name)), F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fp = np.array([simhash(t.as_py(), size) for t in b["__text"]], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*b.schema.names[:-1], name])
 
@@ -207,7 +208,7 @@ def frequent(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndar
     most `COMMON` of them. They only set an order of shingles, so a sample is as right as all."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             for t in b["t"]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), size))], names=["s"])
 
@@ -236,11 +237,16 @@ def prefix(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np
 
 def parity(shingles: np.ndarray) -> np.ndarray:
     """A map of 64 * `WIDE` bits, each the parity of the shingles that fall on it. Two sets' maps
-    differ in no more bits than the sets do in shingles."""
+    differ in no more bits than the sets do in shingles, and so do folded maps."""
     bits = np.bincount((shingles.view(np.uint64) >> np.uint64(40)).astype(np.int64) % (64 * WIDE), minlength=64 * WIDE) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def folded(maps: np.ndarray) -> np.ndarray:
+    """Maps (one a row) as narrower ones of `FOLDED` longs."""
+    return np.bitwise_xor.reduce(maps.reshape(-1, WIDE // FOLDED, FOLDED), axis=1)
+
+
 def _sent(rows: DataFrame) -> DataFrame:
     """A narrow staged table, to be broadcast if it has at most `SMALL` rows."""
     return F.broadcast(rows) if rows.count() <= SMALL else rows
@@ -253,17 +259,28 @@ def _likely(x: dict[str, Column], y: dict[str, Column], similarity: float, mappe
     enough = F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= both * (similarity / (1 + similarity)) - 1e-9
     if not mapped:
         return enough
-    apart = reduce(lambda a, b: a + b, (F.bit_count(x[f"b{k}"].bitwiseXOR(y[f"b{k}"])) for k in range(WIDE)))
+    apart = reduce(lambda a, b: a + b, (F.bit_count(x[f"b{k}"].bitwiseXOR(y[f"b{k}"])) for k in range(FOLDED)))
     return enough & (apart <= both * ((1 - similarity) / (1 + similarity)) + 1e-9)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text: str, units: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of `pairs` (x, y) whose whole shingle sets are similar, as (a, b)."""
-    pairs = staged(pairs, "similar-pairs")
+def _verified(pairs: DataFrame, docs: DataFrame, text: str, units: DataFrame, flat: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those of `pairs` (x, y) whose whole shingle sets are similar, as (a, b): bounded by their maps
+    first, then counted."""
+    side = lambda rows, c, *to: rows.select(F.col("digest").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in to))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 4096):
+            one, other = (np.frombuffer(b"".join(b[c].to_pylist()), "<u8").reshape(-1, WIDE) for c in ("map_x", "map_y"))
+            both = b["n_x"].to_numpy() + b["n_y"].to_numpy()
+            near = np.bitwise_count(one ^ other).sum(axis=1) <= both * ((1 - similarity) / (1 + similarity)) + 1e-9
+            yield b.select(["x", "y"]).filter(pa.array(near))
+
+    mapped = pairs.join(side(flat, "x", "n", "map"), "x").join(side(flat, "y", "n", "map"), "y")
+    pairs = staged(mapped.mapInArrow(bounded, "x long, y long"), "similar-pairs")
     wanted = staged(pairs.select(F.col("x").alias("digest")).unionByName(pairs.select(F.col("y").alias("digest"))).distinct(), "similar-wanted")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b["digest"], pa.array([shingle_set(x.as_py(), size) for x in b["t"]], pa.list_(pa.int64()))], names=["digest", "shingles"])
 
     # One row of each wanted text, told by its smallest document; equal rows give equal sets.
@@ -272,9 +289,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, units: DataFrame, si
     rows = docs.select(F.xxhash64(t).alias("digest"), "doc_id", t.alias("t"))
     rows = rows.join(_sent(chosen), (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("digest", "t").dropDuplicates(["digest"])
     sets = staged(rows.mapInArrow(shingled, "digest long, shingles array<long>"), "similar-shingles")
-    side = lambda c, to: sets.select(F.col("digest").alias(c), F.col("shingles").alias(to))
-    both = pairs.join(side("x", "sx"), "x").join(side("y", "sy"), "y").select("x", "y", F.size(F.array_intersect("sx", "sy")).alias("n"), (F.size("sx") + F.size("sy")).alias("total"))
-    return staged(both.where(F.col("n") >= similarity * (F.col("total") - F.col("n"))).select(F.col("x").alias("a"), F.col("y").alias("b")), "similar-links")
+    both = pairs.join(side(sets, "x", "shingles"), "x").join(side(sets, "y", "shingles"), "y")
+    both = both.select("x", "y", F.size(F.array_intersect("shingles_x", "shingles_y")).alias("n"), (F.size("shingles_x") + F.size("shingles_y")).alias("total"))
+    links = both.where(F.col("n") >= similarity * (F.col("total") - F.col("n"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return staged(links, "similar-links", instead_of=sets)
 
 
 def similar(docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -294,23 +312,26 @@ def similar(docs: DataFrame, text: str = "text", size: int = 5, similarity: floa
     kind = dict(docs.dtypes)["doc_id"]
     t = F.coalesce(F.col(text), F.lit(""))
     common = frequent(docs, text, size)
-    maps = [f"b{k}" for k in range(WIDE)]
+    maps = [f"b{k}" for k in range(FOLDED)]
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingle_set(x.as_py(), size) for x in b["t"]]
             keys = [prefix(x, similarity, common) for x in sets]
-            bits = np.array([parity(x) for x in sets], np.int64).reshape(-1, WIDE)
-            own = [pa.array([len(x) for x in sets], pa.int64()), pa.array([k for k, _ in keys], pa.list_(pa.int64())), pa.array([c for _, c in keys], pa.int32()), *(pa.array(bits[:, k]) for k in range(WIDE))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *own], names=[*b.schema.names[:-1], "n", "keys", "cold", *maps])
-
-    own = docs.select("doc_id", F.xxhash64(t).alias("digest"), t.alias("t")).mapInArrow(indexed, f"doc_id {kind}, digest long, n long, keys array<long>, cold int, {', '.join(f'{b} long' for b in maps)}")
-    own = staged(own, "similar-prefixes")
+            wide = np.array([parity(x) for x in sets], np.int64).reshape(-1, WIDE)
+            bits = folded(wide)
+            own = [pa.array([len(x) for x in sets], pa.int64()), pa.array([k for k, _ in keys], pa.list_(pa.int64())), pa.array([c for _, c in keys], pa.int32()), pa.array([x.tobytes() for x in wide]), *(pa.array(bits[:, k]) for k in range(FOLDED))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *own], names=[*b.schema.names[:-1], "n", "keys", "cold", "map", *maps])
+
+    full = docs.select("doc_id", F.xxhash64(t).alias("digest"), t.alias("t")).mapInArrow(indexed, f"doc_id {kind}, digest long, n long, keys array<long>, cold int, map binary, {', '.join(f'{b} long' for b in maps)}")
+    full = staged(full, "similar-prefixes")
+    own = staged(full.select("doc_id", "digest"), "similar-documents")
     ident = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("digest"))
     units = staged(own.groupBy("digest").agg(F.min(ident).alias("first"), F.count("*").alias("copies")), "similar-texts")
     copied = staged(units.where("copies > 1").select("digest"), "similar-copied")
-    once = own.join(_sent(copied), "digest", "left_anti").drop("doc_id").unionByName(own.join(_sent(copied), "digest", "left_semi").drop("doc_id").dropDuplicates(["digest"]))
-    once = staged(once, "similar-once")
+    once = full.join(_sent(copied), "digest", "left_anti").drop("doc_id").unionByName(full.join(_sent(copied), "digest", "left_semi").drop("doc_id").dropDuplicates(["digest"]))
+    once = staged(once, "similar-once", instead_of=full)
+    flat = staged(once.drop("keys", "cold"), "similar-maps")
 
     def exploded(keys: Column, first: Column) -> DataFrame:
         rows = once.select("digest", "n", first.alias("first"), F.posexplode(keys).alias("at", "key"))
@@ -322,26 +343,23 @@ def similar(docs: DataFrame, text: str = "text", size: int = 5, similarity: floa
     often = exploded(F.slice("keys", F.col("cold") + 1, F.size("keys")), F.col("cold"))
     often = often.join(often.groupBy("key").agg(F.count("*").alias("many"), *(h.alias(k) for k, h in heads.items())), "key").select(rare.columns)
     near = lambda k: F.when((F.col(f"{k}.digest") != F.col("digest")) & _likely({c: F.col(c) for c in ("n", "pos")}, {c: F.col(f"{k}.{c}") for c in ("n", "pos")}, similarity, False), F.col(f"{k}.digest")).alias(k)
-    met = staged(rare.unionByName(often).where("many > 1").select("key", "digest", "n", "pos", *map(near, heads)), "similar-met")
+    met = staged(rare.unionByName(often).where("many > 1").select("key", "digest", "n", "pos", *map(near, heads)), "similar-met", instead_of=once)
 
     asked = met.select(F.col("digest").alias("x"), F.explode(F.array(*(F.struct(F.lit(i).alias("turn"), F.col(k).alias("y")) for i, k in enumerate(heads)))).alias("e")).select("x", "e.*").where("y IS NOT NULL")
     best = asked.groupBy("x", "turn", "y").count().groupBy("x", "turn").agg(F.max(F.struct("count", "y"))["y"].alias("y")).select("x", "y").distinct()
-    side = lambda c, to: once.select(F.col("digest").alias(c), F.struct("n", F.lit(0).alias("pos"), *maps).alias(to))
-    part = lambda to: {c: F.col(f"{to}.{c}") for c in ("n", "pos", *maps)}
-    pairs = best.join(side("x", "p"), "x").join(side("y", "q"), "y").where(_likely(part("p"), part("q"), similarity)).select("x", "y")
-    found = _verified(pairs, docs, text, units, size, similarity)
+    found = _verified(best, docs, text, units, flat, size, similarity)
     roots = staged(stars(found), "similar-roots")
 
     label = met.select("key", "digest", "n", "pos").join(roots, F.col("digest") == F.col("node"), "left").select("key", "digest", "n", "pos", F.coalesce("root", "digest").alias("label"))
     label = staged(label, "similar-labels")
     apart = staged(label.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("key"), "similar-apart")
-    rest = label.join(apart, "key", "left_semi").join(once.select("digest", *maps), "digest").select("key", "digest", "n", "pos", "label", *maps)
-    rest = staged(rest, "similar-rest")
+    rest = label.join(apart, "key", "left_semi").join(flat.select("digest", *maps), "digest").select("key", "digest", "n", "pos", "label", *maps)
+    rest = staged(rest, "similar-rest", instead_of=met)
     other = rest.select(F.col("key").alias("key_"), *(F.col(c).alias(f"{c}_") for c in rest.columns[1:]))
     wide = ("n", "pos", *maps)
     meets = (F.col("key") == F.col("key_")) & (F.col("digest") < F.col("digest_")) & (F.col("label") != F.col("label_")) & _likely({c: F.col(c) for c in wide}, {c: F.col(f"{c}_") for c in wide}, similarity)
     pairs = rest.join(other, meets).select(F.col("digest").alias("x"), F.col("digest_").alias("y")).distinct()
-    found = found.unionByName(_verified(pairs, docs, text, units, size, similarity))
+    found = found.unionByName(_verified(pairs, docs, text, units, flat, size, similarity))
     roots = staged(stars(found), "similar-roots")
     member = staged(units.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "first", F.coalesce("root", "digest").alias("root")), "similar-members")
     component = member.join(member.groupBy("root").agg(F.min("first").alias("component")), "root").select("digest", "component")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwright.llm.packing import ordinary
-from millwright.session import staged, table, work_folder
+from millwright.session import sliced, staged, table, work_folder
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["docs", "tokens"]
@@ -64,7 +64,7 @@ def counted(docs: DataFrame, text: str = "text", tokenizers: dict[str, Callable[
     rows = docs.select("doc_id", *key, t.alias("t"), new.alias("new"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts, news = b["t"].to_pylist(), b["new"].to_pylist()
             for name, count in tokenizers.items():
                 before = [count(x) for x in texts]

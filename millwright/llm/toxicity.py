@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.session import table
+from millwright.session import sliced, table
 
 #: ASCII punctuation but the apostrophe separates words.
 SPLIT = bytes.maketrans(bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39), b" " * 31)
@@ -86,7 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     rows = rows.select(order.alias("o"), F.xxhash64("t").alias("h"), "y", "t")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             own = [features(t.as_py(), bits).astype(np.int32) for t in b["t"]]
             yield pa.RecordBatch.from_arrays([b["o"], b["h"], b["y"], pa.array(own, pa.list_(pa.int32()))], names=["o", "h", "y", "at"])
 
