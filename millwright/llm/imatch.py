@@ -15,25 +15,27 @@ fixed size, whatever the corpus, so the band is a bitmap of 2^`bits` bits, small
 broadcast by construction. Terms that share a slot share a frequency.
 
 The edited text of a document ends with the start of its successor by doc_id. Documents are
-dealt to ranges of doc_id (split points from a count over ids, not texts), sorted inside a
-range and read in one stream that keeps two rows; the first document of every range is sent
-to the range before it too. So texts are shuffled once and no order spans one task.
+dealt to ranges of doc_id (split points from a count over ids; a doc_id with many rows is cut by
+a hash of their texts), sorted inside a range and read in one stream that keeps two rows; the first
+document of every range is sent to the range before it too. So texts are shuffled once and no order
+spans one task.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.session import table
+from millwright.session import sliced, staged, table
 
 #: ASCII punctuation separates terms.
 SPLIT = bytes.maketrans(bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127)), b" " * 32)
@@ -59,7 +61,7 @@ def document_frequencies(docs: DataFrame, text: str = "text", bits: int = 22) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2**bits, np.int32)
-        for b in batches:
+        for b in sliced(batches):
             for t in b["t"]:
                 total[np.unique(slots(term_hashes(t.as_py()), bits))] += 1
         on = np.flatnonzero(total)
@@ -95,18 +97,25 @@ def fingerprint(terms: np.ndarray, everything: np.ndarray) -> str:
     """Hash of the whole sorted kept terms, then of each subset (`------` for one with none).
 
     A text without kept terms is told from others by all its terms, so equal texts and only
-    alike texts agree on the first part."""
+    alike texts agree on the first part. Subsets of one draw are nested, so each rate looks only at
+    what the one before kept, for several draws at once."""
     whole = terms if len(terms) else everything
-    parts = [xxhash.xxh64_hexdigest(whole.tobytes()) if len(whole) else "0" * 16]
-    for mix in _MIX:
-        draw = (terms ^ (terms >> np.uint64(31))) * mix
+    parts = [[NONE] * len(RATES) for _ in range(SUBSETS)]
+    base, step = terms ^ (terms >> np.uint64(31)), max(1, (1 << 20) // max(1, len(terms)))
+    for first in range(0, SUBSETS, step):
+        draw = base * _MIX[first : first + step, None]
         draw ^= draw >> np.uint64(32)
-        held, at = terms, draw
-        for rate in RATES:
-            inside = at & np.uint64(2**rate - 1) == 0
-            held, at = held[inside], at[inside]
-            parts.append(f"{xxhash.xxh64_intdigest(held.tobytes(), 1) >> 40:06x}" if len(held) else NONE)
-    return ".".join(parts)
+        row, col = np.nonzero(draw & np.uint64(2 ** RATES[0] - 1) == 0)
+        at = draw[row, col]
+        for k, rate in enumerate(RATES):
+            if k:
+                inside = at & np.uint64(2**rate - 1) == 0
+                row, col, at = row[inside], col[inside], at[inside]
+            held, ends = terms[col].tobytes(), (8 * np.searchsorted(row, np.arange(len(draw) + 1))).tolist()
+            for i in range(len(draw)):
+                if ends[i + 1] > ends[i]:
+                    parts[first + i][k] = f"{xxhash.xxh64_intdigest(held[ends[i] : ends[i + 1]], 1) >> 40:06x}"
+    return ".".join([xxhash.xxh64_hexdigest(whole.tobytes()) if len(whole) else "0" * 16, *chain.from_iterable(parts)])
 
 
 def likeness(a: str, b: str) -> float:
@@ -131,44 +140,63 @@ def fingerprints(docs: DataFrame, band: Broadcast, text: str = "text", name: str
     """Every row with its fingerprint in column `name` (replaced if there). Null and empty
     texts have the same fingerprint."""
 
-    @F.pandas_udf("string")
-    def run(texts):
-        return texts.map(lambda t: of_text(t, band.value))
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([of_text(t.as_py(), band.value) for t in texts], pa.string())
 
     return docs.select(*(c for c in docs.columns if c != name), run(F.coalesce(F.col(text), F.lit(""))).alias(name))
 
 
-def split_points(docs: DataFrame, key: str, range_rows: int = 512, most: int = 20_000) -> tuple[list[int], int | None]:
-    """Keys at which ranges of about `range_rows` rows start, ascending, and the first key of
-    all (null if any key is null: nulls come first). At most `most` points are made."""
-    first = F.when(F.count("*") > F.count(key), F.lit(None)).otherwise(F.min(key))
-    n, lowest = docs.agg(F.count("*"), first).first()
+Place = tuple[bool, int, int]
+
+
+def split_points(rows: DataFrame, range_rows: int = 512, most: int = 20_000) -> list[Place]:
+    """Places (key is there, key, hash) at which ranges of about `range_rows` rows (key, hash) start,
+    ascending; nulls come first. A key with more rows is cut by hash. At most about `most` points are
+    made, so the ranges of a larger table are longer."""
+    n = rows.count()
     parts = min(most, n // range_rows)
     if parts < 2:
-        return [], lowest
-    points = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
-    return sorted({p for p in points if lowest is None or p > lowest}), lowest
+        return []
+    size = max(range_rows, n // most)
+    keys = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
+    hot = rows.groupBy("key").count().where(F.col("count") > 2 * size).collect()  # at most most / 2 rows
+    out = {(True, k, -(1 << 63)) for k in keys}
+    for r in hot:
+        cuts = -(-r["count"] // size)
+        out |= {(r["key"] is not None, r["key"] or 0, -(1 << 63) + (i << 64) // cuts) for i in range(cuts)}
+    return sorted(out)
 
 
 def with_successor(docs: DataFrame, key: str, text: str, range_rows: int = 512) -> DataFrame:
     """Rows (range, copied, key, text), each partition sorted so that every row that is not
     copied is directly followed by its successor by `key`; after the last comes the first.
-    Equal keys are ordered by a hash of their texts."""
-    points, lowest = split_points(docs.select(key), key, range_rows)
-    starts = np.array(points, np.int64)
+    Equal keys are ordered by a hash of their texts, rows equal in both hold the same text."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    narrow = staged(docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(t).alias("hash")), "imatch-order")
+    starts = split_points(narrow, range_rows)
+
+    def ranged(keys: list, hashes: list) -> list[int]:
+        return [bisect_right(starts, (k is not None, k or 0, h)) for k, h in zip(keys, hashes, strict=True)]
+
+    @F.arrow_udf("int")
+    def of(keys: pa.Array, nulls: pa.Array, hashes: pa.Array) -> pa.Array:
+        own = [None if x else k for k, x in zip(keys.to_pylist(), nulls.to_pylist(), strict=True)]
+        return pa.array(ranged(own, hashes.to_pylist()), pa.int32())
+
+    place = (F.coalesce("key", F.lit(0)), F.col("key").isNull(), F.col("hash"))
+    first = narrow.withColumn("range", of(*place)).groupBy("range").agg(F.min(F.struct(F.col("key").isNotNull().alias("there"), "key", "hash")).alias("m")).orderBy("range").collect()  # one row a range
+    heads = {(r["m"]["key"], r["m"]["hash"]): first[i - 1]["range"] for i, r in enumerate(first)}  # of a range, and the range before it
 
-    @F.pandas_udf("array<int>")
-    def ranges(keys, nulls):
-        at = np.where(nulls, 0, np.searchsorted(starts, keys.fillna(0).to_numpy(np.int64), side="right"))
-        out = []
-        for r, k, null in zip(at, keys, nulls, strict=True):
-            head = (null if lowest is None else not null and k == lowest) if r == 0 else k == starts[r - 1]
-            out.append([r, (r - 1) % (len(starts) + 1)] if head else [r])
-        return pd.Series(out)
+    @F.arrow_udf("array<int>")
+    def ranges(keys: pa.Array, nulls: pa.Array, hashes: pa.Array) -> pa.Array:
+        own, at = [None if x else k for k, x in zip(keys.to_pylist(), nulls.to_pylist(), strict=True)], hashes.to_pylist()
+        before = [heads.get(x) for x in zip(own, at, strict=True)]
+        return pa.array([[r] if b is None else [r, b] for r, b in zip(ranged(own, at), before, strict=True)], pa.list_(pa.int32()))
 
-    dealt = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = dealt.select("key", "text", F.posexplode(ranges(F.col("key"), F.col("key").isNull())).alias("copied", "range"))
-    return dealt.repartition("range").sortWithinPartitions("range", "copied", F.col("key").asc_nulls_first(), F.xxhash64("text")).select("range", "copied", "key", "text")
+    dealt = docs.select(F.col(key).cast("long").alias("key"), t.alias("text")).withColumn("hash", F.xxhash64("text"))
+    dealt = dealt.select("key", "text", "hash", F.posexplode(ranges(*place)).alias("copied", "range"))
+    return dealt.repartition("range").sortWithinPartitions("range", "copied", F.col("key").asc_nulls_first(), "hash").select("range", "copied", "key", "text")
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -185,7 +213,7 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", bit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # range, key, text, fingerprint
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for r, copied, k, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if copied and held is None:
