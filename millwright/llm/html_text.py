@@ -30,7 +30,7 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -301,9 +301,9 @@ def _heading(at: Element | None) -> bool:
 def main_text(column: Column) -> Column:
     """Main text of a column of pages."""
 
-    @F.pandas_udf("string")
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(extract, na_action=None)
+    @F.arrow_udf("string")
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.array([extract(p.as_py()) for p in pages], pa.string())
 
     return run(column)
 

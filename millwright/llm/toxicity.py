@@ -114,11 +114,11 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "t
     empty texts have no features and get the bias's score; repeated rows stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2^bits + 1 pairs
 
-    @F.pandas_udf("double")
-    def score(texts):
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         weights = np.zeros(2**bits + 1)
         weights[shared.value[0]] = shared.value[1]
-        return texts.map(lambda t: probability(weights[features(t, bits)].sum() + weights[-1]))
+        return pa.array([probability(weights[features(t.as_py(), bits)].sum() + weights[-1]) for t in texts], pa.float64())
 
     return docs.withColumn("score", score(F.coalesce(F.col(text), F.lit(""))))
 

@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,7 +103,7 @@ def leading(levels: list[Level], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return count
 
 
-def _u64(column: pa.ChunkedArray | pa.Array | pd.Series) -> np.ndarray:
+def _u64(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(column, dtype=np.int64).view(np.uint64)
 
 
@@ -176,15 +175,12 @@ def is_listed(spark: SparkSession, levels: list[Level], keys: Column) -> Column:
     that the cascade was built over. An empty array is not."""
     shared = spark.sparkContext.broadcast(levels)
 
-    @F.pandas_udf("boolean")
-    def test(a: pd.Series, b: pd.Series) -> pd.Series:
-        sizes = a.map(len).to_numpy(np.int64)
-        if not sizes.sum():
-            return pd.Series(np.zeros(len(a), bool))
-        hit = leading(shared.value, _u64(np.concatenate(a.to_list())), _u64(np.concatenate(b.to_list()))) % 2 == 1
+    @F.arrow_udf("boolean")
+    def test(a: pa.Array, b: pa.Array) -> pa.Array:
+        hit = leading(shared.value, _u64(a.flatten()), _u64(b.flatten())) % 2 == 1
         found = np.zeros(len(a), bool)
-        found[np.repeat(np.arange(len(a)), sizes)[hit]] = True
-        return pd.Series(found)
+        found[a.value_parent_indices().to_numpy()[hit]] = True
+        return pa.array(found)
 
     return test(F.transform(keys, lambda k: key_hashes(k)[0]), F.transform(keys, lambda k: key_hashes(k)[1]))
 
