@@ -12,12 +12,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 TOL = 1e-9
 
 
 def simplex(c: np.ndarray, a_ub: np.ndarray, b_ub: np.ndarray, a_eq: np.ndarray, b_eq: np.ndarray) -> tuple[str, np.ndarray, float]:
     """Minimises c x subject to a_ub x <= b_ub, a_eq x = b_eq, x >= 0: (status, x, value)."""
+    return priced(c, a_ub, b_ub, a_eq, b_eq)[:3]
+
+
+def priced(c: np.ndarray, a_ub: np.ndarray, b_ub: np.ndarray, a_eq: np.ndarray, b_eq: np.ndarray) -> tuple[str, np.ndarray, float, np.ndarray]:
+    """As `simplex`, with the change of the value for one more unit of each of b_ub: the last cost
+    row at the slacks."""
     n, m_ub, m_eq = len(c), len(b_ub), len(b_eq)
     a = np.zeros((m_ub + m_eq, n + m_ub))
     a[:m_ub, :n], a[m_ub:, :n] = a_ub.reshape(m_ub, n), a_eq.reshape(m_eq, n)
@@ -31,9 +38,9 @@ def simplex(c: np.ndarray, a_ub: np.ndarray, b_ub: np.ndarray, a_eq: np.ndarray,
     basis = np.arange(cols, cols + rows)
     tableau[-1, :cols], tableau[-1, -1] = -a.sum(axis=0), -b.sum()
     if not _pivoted(tableau, basis, cols):
-        return "unbounded", np.zeros(n), 0.0
+        return "unbounded", np.zeros(n), 0.0, np.zeros(m_ub)
     if tableau[-1, -1] < -1e-7 * max(1.0, np.abs(b).max(initial=0.0)):
-        return "infeasible", np.zeros(n), 0.0
+        return "infeasible", np.zeros(n), 0.0, np.zeros(m_ub)
     for r in np.flatnonzero(basis >= cols):  # artificial variables at zero leave where they can
         at = np.flatnonzero(np.abs(tableau[r, :cols]) > TOL)
         if len(at):
@@ -45,10 +52,10 @@ def simplex(c: np.ndarray, a_ub: np.ndarray, b_ub: np.ndarray, a_eq: np.ndarray,
     for r, at in enumerate(basis):
         tableau[-1] -= tableau[-1, at] * tableau[r]
     if not _pivoted(tableau, basis, cols):
-        return "unbounded", np.zeros(n), 0.0
+        return "unbounded", np.zeros(n), 0.0, np.zeros(m_ub)
     x = np.zeros(cols)
     x[basis] = tableau[:-1, -1]
-    return "optimal", x[:n], float(c @ x[:n])
+    return "optimal", x[:n], float(c @ x[:n]), -tableau[-1, n : n + m_ub]
 
 
 def _pivot(t: np.ndarray, basis: np.ndarray, r: int, at: int) -> None:
@@ -83,8 +90,8 @@ def lexicographic(stages: list[np.ndarray], a_ub: np.ndarray, b_ub: np.ndarray,
     x = np.zeros(a_ub.shape[1] if len(b_ub) else a_eq.shape[1])
     for c in stages:
         status, x_new, value = simplex(c, a_ub, b_ub, a_eq, b_eq)
-        if status != "optimal":
-            return (status if not values else "optimal"), x, values
+        if status != "optimal":  # a later stage keeps the earlier ones' plan, and says so
+            return (status if not values else f"optimal to stage {len(values)}"), x, values
         x = x_new
         values.append(value)
         a_ub, b_ub = np.vstack([a_ub.reshape(-1, len(c)), c]), np.append(b_ub, value + max(abs(value), 1.0) * 1e-9)
@@ -150,3 +157,98 @@ def solve_demand(rows: DataFrame) -> DataFrame:
         return pa.table({"run": [run] * k, "recipe": recipes, "activity": [float(v) for v in x], "scale": [1.0] * k, "status": [status] * k}, schema=pa.schema([("run", pa.int64()), ("recipe", pa.int64()), ("activity", pa.float64()), ("scale", pa.float64()), ("status", pa.string())]))
 
     return rows.groupBy("run").applyInArrow(plan, SOLUTION)
+
+
+DISTRICT = "run long, kind string, key long, value double, price double, note string"
+
+
+def _district(t: pa.Table, grid: float | None) -> list[tuple]:
+    """Rows of DISTRICT for one run."""
+    run = t["run"][0].as_py()
+    recipes, items, net = _matrix(t)
+    facts: dict = {}
+    for i, cap, want, floor, weight in zip(*(t[k].to_pylist() for k in ("item", "cap", "target", "floor", "weight")), strict=True):
+        facts[i] = (cap, want or 0.0, floor or 0.0, weight or 0.0)
+    own = {r: (c or 0.0, p or 0.0) for r, c, p in zip(*(t[k].to_pylist() for k in ("recipe", "cost", "power")), strict=True) if r is not None}
+    n = len(recipes)
+    bounded = np.array([facts[i][0] is not None for i in items])
+    cap, want, floor, weight = (np.array([facts[i][k] or 0.0 for i in items]) for k in range(4))
+    power = np.array([own[r][1] for r in recipes])
+    held = [i for i, b in zip(items, bounded, strict=True) if b]
+    a = np.hstack([-net, want[:, None]])[bounded]
+    b = (cap - floor)[bounded]
+    if grid is not None:
+        a, b = np.vstack([a, np.append(power, 0.0)]), np.append(b, grid)
+    none = (np.zeros((0, n + 1)), np.zeros(0))
+    scale = np.append(np.zeros(n), -1.0)
+    status, x, _, price = priced(scale, a, b, *none)
+    if status == "infeasible":
+        return _floors(run, a, b, floor[bounded], held, n)
+    if status != "optimal":
+        return [(run, "run", 0, 0.0, None, status)]
+    extra = np.append(-(weight @ net), weight @ want)  # the weighted surplus of what is made over what is wanted
+    stages = [scale, extra, np.append([own[r][0] for r in recipes], 0.0), np.append(np.ones(n), 0.0)]
+    if not weight.any():
+        stages.pop(1)
+    status, x, _ = lexicographic(stages, a, b, *none)
+    left = b - a @ x
+    out = [(run, "run", 0, float(x[n]), None, status)]
+    out += [(run, "recipe", r, float(v), None, "") for r, v in zip(recipes, x[:n], strict=True)]
+    out += [(run, "item", i, float(c - f - r), float(-y), "binding" if r <= 1e-6 * max(1.0, c) else "") for i, c, f, r, y in zip(held, cap[bounded], floor[bounded], left, price, strict=False)]
+    if grid is not None:
+        out.append((run, "power", 0, float(power @ x[:n]), float(-price[-1]), "binding" if left[-1] <= 1e-6 * max(1.0, grid) else ""))
+    return out
+
+
+def _floors(run: int, a: np.ndarray, b: np.ndarray, floor: np.ndarray, held: list, n: int) -> list[tuple]:
+    """Which floors fail alone, and the largest share of all that can be met together, as one more
+    program: the share is a variable."""
+    room = b.copy()
+    room[: len(floor)] += floor
+    out = []
+    for k in np.flatnonzero(floor):
+        alone = room.copy()
+        alone[k] -= floor[k]
+        ok = simplex(np.zeros(n + 1), a, alone, np.zeros((0, n + 1)), np.zeros(0))[0] == "optimal"
+        out.append((run, "floor", held[k], float(floor[k]), None, "" if ok else "fails alone"))
+    column = np.zeros(len(b))
+    column[: len(floor)] = floor
+    wide = np.vstack([np.hstack([a, column[:, None]]), np.append(np.zeros(n + 1), 1.0)])
+    status, x, _ = simplex(np.append(np.zeros(n + 1), -1.0), wide, np.append(room, 1.0), np.zeros((0, n + 2)), np.zeros(0))
+    return [(run, "run", 0, float(x[-1]) if status == "optimal" else 0.0, None, "floors not met"), *out]
+
+
+def solve_district(rows: DataFrame, grid: float | None = None) -> DataFrame:
+    """One plan for each run under caps, floors and a grid, in four stages: the largest common scale
+    of the targets, then the greatest weighted surplus, least cost, least activity.
+
+    `rows` as for `solve_supply`, with `floor` (units an item must have left), `weight` (what a unit
+    of surplus counts) and the recipe's `power`. Gives (run, kind, key, value, price, note): the run's
+    scale and status, each recipe's activity, each capped item's draw with what one more unit of cap
+    adds to the scale and whether it binds, the power drawn. A run whose floors cannot be met gives
+    the largest share of them that can, and which fail alone."""
+
+    def plan(t: pa.Table) -> pa.Table:
+        names = [f.split()[0] for f in DISTRICT.split(", ")]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.string()]
+        return pa.table({k: pa.array(c, kind) for k, c, kind in zip(names, zip(*_district(t, grid), strict=True), kinds, strict=True)})
+
+    return rows.groupBy("run").applyInArrow(plan, DISTRICT)
+
+
+#: Numbers of one site's items and recipes lie this far from the next one's.
+SITE = 1 << 32
+
+
+def with_transfers(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of a run with several sites (column site) as rows of one, for the solvers: items and
+    recipes are told apart by site, and a link (run, a, b, item, cost) is one more recipe that takes
+    the item at one site and gives it at the other."""
+    at = lambda site, c: F.col(site) * SITE + F.col(c)
+    own = rows.withColumn("recipe", at("site", "recipe")).withColumn("item", at("site", "item")).drop("site")
+    link = F.xxhash64("a", "b", "item").bitwiseOR(F.lit(-(1 << 63)))  # negative, so no site's recipe
+    ends = F.explode(F.array(*(F.struct(at(e, "item").alias("item"), F.lit(q).alias("coef")) for e, q in (("a", -1.0), ("b", 1.0)))))
+    sent = links.select("run", link.alias("recipe"), ends.alias("e"), F.col("cost").alias("price")).select("run", "recipe", "e.*", "price")
+    facts = own.groupBy("run", "item").agg(*(F.max(c).alias(c) for c in ("cap", "target")), (F.count("*") > F.count("cap")).alias("free"))
+    sent = sent.join(facts, ["run", "item"]).select("run", "recipe", "item", "coef", F.when(~F.col("free"), F.col("cap")).alias("cap"), "target", F.col("price").alias("cost"))
+    return own.select(*sent.columns).unionByName(sent)

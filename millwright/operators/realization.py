@@ -7,8 +7,7 @@ grouped sum. A cycle is refused by the levels, never iterated to a fixed point.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright.functions.scalars import whole
@@ -43,20 +42,18 @@ def integral_widths(rows: DataFrame, rate: str, draws: str, widest: int = 12) ->
     return rows.withColumn("widths", F.filter(F.sequence(F.lit(1), F.lit(widest)), fits))
 
 
-def speed_profile(steps: DataFrame, by: str, order: list[str], top: float = 30.0, gain: float = 4.0, loss: float = 6.0) -> DataFrame:
+def speed_profile(steps: DataFrame, by: str, order: str, top: float = 30.0, gain: float = 4.0, loss: float = 6.0) -> DataFrame:
     """(by, minutes, length): time along routes whose speed may rise by `gain` and fall by
-    `loss` a step; a forward and a backward pass over each route. `steps` has length and limit."""
+    `loss` a step. `steps` has length and limit.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        limit = rows["limit"].clip(upper=top).to_list()
-        for i in range(1, len(limit)):
-            limit[i] = min(limit[i], limit[i - 1] + gain)
-        for i in range(len(limit) - 2, -1, -1):
-            limit[i] = min(limit[i], limit[i + 1] + loss)
-        return pd.DataFrame({by: [rows[by].iloc[0]], "minutes": [sum(n / v for n, v in zip(rows["length"], limit, strict=True))], "length": [rows["length"].sum()]})
-
-    return steps.groupBy(by).applyInPandas(run, f"{by} {dict(steps.dtypes)[by]}, minutes double, length double")
+    After a forward pass a step's speed is the least of every earlier limit plus the gains since,
+    after a backward pass the least of every later one plus the losses until, so both are running
+    minima."""
+    forth = Window.partitionBy(by).orderBy(order)
+    rows = steps.withColumn("_i", F.row_number().over(forth)).withColumn("_v", F.least(F.lit(top), F.col("limit")))
+    up = rows.withColumn("_u", gain * F.col("_i") + F.min(F.col("_v") - gain * F.col("_i")).over(Window.partitionBy(by).orderBy("_i")))
+    speed = up.withColumn("_s", F.min(F.col("_u") + loss * F.col("_i")).over(Window.partitionBy(by).orderBy(F.col("_i").desc())) - loss * F.col("_i"))
+    return speed.groupBy(by).agg(F.sum(F.col("length") / F.col("_s")).alias("minutes"), F.sum("length").alias("length"))
 
 
 def rasterized(triangles: DataFrame, size: float) -> DataFrame:
@@ -93,7 +90,7 @@ def alternatives(edges: DataFrame, source: object, target: object, count: int =
     of all earlier ones made dearer by `penalty` of their cost; cost is without penalties."""
     spark, out = edges.sparkSession, None
     kind = dict(edges.dtypes)["a"]
-    now = edges
+    now = edges = staged(edges.select("a", "b", "cost"), "alternative-all")
     for rank in range(count):
         best = graph.shortest(now, spark.createDataFrame([(source,)], f"source {kind}"))
         path = staged(graph.paths(best, spark.createDataFrame([(source, target)], f"source {kind}, target {kind}")).select("step", "node"), "alternative")

@@ -1,14 +1,15 @@
 """Radius joins, neighbourhoods and raster operators.
 
 Rasters are long tables (r, c, value). Moving windows are separable: along rows first, then
-along columns, with ranges in the window frame, so the work is linear in cells and window
-partitions are single rows and columns. Radius joins meet in square buckets as wide as the
+along columns, with ranges in the window frame, so the work is linear in cells. A window partition
+is a stretch of `TILE` cells of one row or column with a halo of the cells that its windows reach
+beyond it, so it does not grow with the raster. Radius joins meet in square buckets as wide as the
 radius, so a point is compared with nine buckets and not with all others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,6 +24,26 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, x: str = "x",
     return a.join(b, ["cx", "cy"]).withColumn("dist", dist).where(F.col("dist") <= radius).drop("cx", "cy")
 
 
+#: Cells of a row or column in one window partition, less its halo.
+TILE = 1024
+
+
+def tiled(cells: DataFrame, axis: str, before: int, after: int) -> DataFrame:
+    """`cells` with `_tile` along an axis: each cell in every tile from whose cells a window that
+    reaches `before` cells back and `after` ahead meets it."""
+    tile = lambda k: F.floor((F.col(axis) + k) / TILE).cast("long")
+    return cells.withColumn("_tile", F.explode(F.sequence(tile(-after), tile(before))))
+
+
+def at_home(rows: DataFrame, axis: str) -> DataFrame:
+    """The rows of `tiled` in the tile of their own cell, once each."""
+    return rows.where(F.col("_tile") == F.floor(F.col(axis) / TILE)).drop("_tile")
+
+
+def _line(near: str, axis: str) -> Window:
+    return Window.partitionBy(near, "_tile").orderBy(axis)
+
+
 def block_stats(cells: DataFrame, size: int, value: str = "z") -> DataFrame:
     """Per block of size x size cells: n, valid, least, most, mean, median, p90."""
     v = F.col(value)
@@ -34,32 +55,36 @@ def block_stats(cells: DataFrame, size: int, value: str = "z") -> DataFrame:
 def box(cells: DataFrame, radius: int, value: str = "z") -> DataFrame:
     """cells with box_n, box_sum, box_min, box_max over the (2 radius + 1) square around each
     cell; missing cells and nulls count as absent."""
-    along = Window.partitionBy("r").orderBy("c").rangeBetween(-radius, radius)
-    across = Window.partitionBy("c").orderBy("r").rangeBetween(-radius, radius)
+    along, across = (_line(near, axis).rangeBetween(-radius, radius) for near, axis in (("r", "c"), ("c", "r")))
     v = F.col(value)
-    row = cells.select("*", F.count(v).over(along).alias("_n"), F.sum(v).over(along).alias("_s"), F.min(v).over(along).alias("_l"), F.max(v).over(along).alias("_h"))
-    return row.select(*cells.columns, F.sum("_n").over(across).alias("box_n"), F.sum("_s").over(across).alias("box_sum"), F.min("_l").over(across).alias("box_min"), F.max("_h").over(across).alias("box_max"))
+    row = tiled(cells, "c", radius, radius).select("*", F.count(v).over(along).alias("_n"), F.sum(v).over(along).alias("_s"), F.min(v).over(along).alias("_l"), F.max(v).over(along).alias("_h"))
+    both = tiled(at_home(row, "c"), "r", radius, radius).select(*cells.columns, "_tile", F.sum("_n").over(across).alias("box_n"), F.sum("_s").over(across).alias("box_sum"), F.min("_l").over(across).alias("box_min"), F.max("_h").over(across).alias("box_max"))
+    return at_home(both, "r")
 
 
 def footprint(cells: DataFrame, width: int, height: int, value: str = "z") -> DataFrame:
     """For each cell as the upper left corner of a footprint: cells with a value in it, the
     platform height (its highest cell), clearance (platform less lowest) and mean."""
-    along = Window.partitionBy("r").orderBy("c").rangeBetween(0, width - 1)
-    across = Window.partitionBy("c").orderBy("r").rangeBetween(0, height - 1)
+    along, across = _line("r", "c").rangeBetween(0, width - 1), _line("c", "r").rangeBetween(0, height - 1)
     v = F.col(value)
-    row = cells.select("r", "c", F.count(v).over(along).alias("_n"), F.sum(v).over(along).alias("_s"), F.min(v).over(along).alias("_l"), F.max(v).over(along).alias("_h"))
-    out = row.select("r", "c", F.sum("_n").over(across).alias("n"), F.max("_h").over(across).alias("platform"), F.min("_l").over(across).alias("_low"), F.sum("_s").over(across).alias("_sum"))
-    return out.where(F.col("n") == width * height).select("r", "c", "platform", (F.col("platform") - F.col("_low")).alias("clearance"), (F.col("_sum") / F.col("n")).alias("mean"))
+    row = tiled(cells, "c", 0, width - 1).select("r", "c", "_tile", F.count(v).over(along).alias("_n"), F.sum(v).over(along).alias("_s"), F.min(v).over(along).alias("_l"), F.max(v).over(along).alias("_h"))
+    out = tiled(at_home(row, "c"), "r", 0, height - 1).select("r", "c", "_tile", F.sum("_n").over(across).alias("n"), F.max("_h").over(across).alias("platform"), F.min("_l").over(across).alias("_low"), F.sum("_s").over(across).alias("_sum"))
+    return at_home(out, "r").where(F.col("n") == width * height).select("r", "c", "platform", (F.col("platform") - F.col("_low")).alias("clearance"), (F.col("_sum") / F.col("n")).alias("mean"))
+
+
+def _beside(cells: DataFrame, near: str, axis: str, made: dict[str, Column]) -> DataFrame:
+    """`cells` with columns over the cells just before and after along an axis."""
+    return at_home(tiled(cells, axis, 1, 1).withColumns(made), axis)
 
 
 def gradient(cells: DataFrame, step: float, value: str = "z") -> DataFrame:
     """cells with `grade`, the length of the central difference; null on the rim."""
-    r, c = Window.partitionBy("c").orderBy("r"), Window.partitionBy("r").orderBy("c")
-    v = F.col(value)
-    there = lambda w, k: (F.lead(k).over(w) - F.col(k) == 1) & (F.col(k) - F.lag(k).over(w) == 1)
-    dr = F.when(there(r, "r"), (F.lead(v).over(r) - F.lag(v).over(r)) / (2 * step))
-    dc = F.when(there(c, "c"), (F.lead(v).over(c) - F.lag(v).over(c)) / (2 * step))
-    return cells.withColumn("grade", F.sqrt(dr * dr + dc * dc))
+    v, out = F.col(value), cells
+    for near, axis in (("c", "r"), ("r", "c")):
+        w = _line(near, axis)
+        there = (F.lead(axis).over(w) - F.col(axis) == 1) & (F.col(axis) - F.lag(axis).over(w) == 1)
+        out = _beside(out, near, axis, {f"_d{axis}": F.when(there, (F.lead(v).over(w) - F.lag(v).over(w)) / (2 * step))})
+    return out.select(*cells.columns, F.sqrt(F.col("_dr") * F.col("_dr") + F.col("_dc") * F.col("_dc")).alias("grade"))
 
 
 def decoded(deltas: DataFrame, delta: str = "delta") -> DataFrame:
@@ -70,12 +95,11 @@ def decoded(deltas: DataFrame, delta: str = "delta") -> DataFrame:
 def borders(cells: DataFrame, label: str) -> DataFrame:
     """(a, b, across, along, n): borders between unlike labels by unordered pair, crossing a
     column edge (across) or a row edge (along)."""
-    right = F.lead(label).over(Window.partitionBy("r").orderBy("c"))
-    next_c = F.lead("c").over(Window.partitionBy("r").orderBy("c"))
-    below = F.lead(label).over(Window.partitionBy("c").orderBy("r"))
-    next_r = F.lead("r").over(Window.partitionBy("c").orderBy("r"))
-    sides = cells.select(F.col(label).alias("l"), F.when(next_c == F.col("c") + 1, right).alias("right"), F.when(next_r == F.col("r") + 1, below).alias("below"))
-    each = sides.select("l", F.explode(F.array(F.struct(F.lit(1).alias("across"), F.col("right").alias("o")), F.struct(F.lit(0).alias("across"), F.col("below").alias("o")))).alias("e"))
+    out = cells.select("r", "c", F.col(label).alias("l"))
+    for near, axis, name in (("r", "c", "right"), ("c", "r", "below")):
+        w = _line(near, axis)
+        out = _beside(out, near, axis, {name: F.when(F.lead(axis).over(w) == F.col(axis) + 1, F.lead("l").over(w))})
+    each = out.select("l", F.explode(F.array(F.struct(F.lit(1).alias("across"), F.col("right").alias("o")), F.struct(F.lit(0).alias("across"), F.col("below").alias("o")))).alias("e"))
     pair = each.where(F.col("e.o").isNotNull() & (F.col("e.o") != F.col("l"))).select(F.least("l", "e.o").alias("a"), F.greatest("l", "e.o").alias("b"), "e.across")
     return pair.groupBy("a", "b").agg(F.sum("across").alias("across"), F.sum(1 - F.col("across")).alias("along"), F.count("*").alias("n"))
 
@@ -85,18 +109,21 @@ def cell_edges(cells: DataFrame, carry: list[str] | None = None) -> DataFrame:
     the column `id`."""
     carry = carry or []
     out = None
-    for near, far in (("r", "c"), ("c", "r")):
-        w = Window.partitionBy(near).orderBy(far)
-        ok = F.lead(far).over(w) == F.col(far) + 1
+    for near, axis in (("r", "c"), ("c", "r")):
+        w = _line(near, axis)
+        ok = F.lead(axis).over(w) == F.col(axis) + 1
         for k in carry:
             ok = ok & F.lead(k).over(w).eqNullSafe(F.col(k))
-        side = cells.select(F.col("id").alias("a"), F.lead("id").over(w).alias("b"), ok.alias("ok")).where("ok").drop("ok")
+        side = _beside(cells, near, axis, {"_to": F.lead("id").over(w), "_ok": ok}).where("_ok").select(F.col("id").alias("a"), F.col("_to").alias("b"))
         out = side if out is None else out.unionByName(side)
     return out
 
 
 def boundary(cells: DataFrame) -> DataFrame:
     """Cells (r, c) of which any 4-neighbour is missing."""
-    w = lambda a, b: Window.partitionBy(a).orderBy(b)
-    near = lambda a, b: F.coalesce(F.lead(b).over(w(a, b)) == F.col(b) + 1, F.lit(False)) & F.coalesce(F.lag(b).over(w(a, b)) == F.col(b) - 1, F.lit(False))
-    return cells.select("r", "c", (near("r", "c") & near("c", "r")).alias("inner")).where("NOT inner").drop("inner")
+    out = cells.select("r", "c")
+    for near, axis, name in (("r", "c", "_wide"), ("c", "r", "_high")):
+        w = _line(near, axis)
+        both = F.coalesce(F.lead(axis).over(w) == F.col(axis) + 1, F.lit(False)) & F.coalesce(F.lag(axis).over(w) == F.col(axis) - 1, F.lit(False))
+        out = _beside(out, near, axis, {name: both})
+    return out.where("NOT (_wide AND _high)").select("r", "c")

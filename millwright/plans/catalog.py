@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millwright.plans import costs, demand, sites, solve, spatial, supply
+from millwright.plans import access, costs, demand, flows, ground, sites, solve, spatial, supply, texts, tracks
 from millwright.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (demand, supply, spatial, sites, costs, solve, events):
+for _module in (demand, supply, spatial, sites, costs, texts, access, ground, flows, tracks, solve, events):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

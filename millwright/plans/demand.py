@@ -38,10 +38,9 @@ def recipe_scaled_rounding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bom_scenario_scaled(spark: SparkSession, sf: str) -> DataFrame:
-    """Explosion of the targets under every scenario in one run."""
+    """Explosion of all items under every scenario in one run."""
     edges = scenario_io(spark, sf).select("scenario", "parent", "child", (F.col("scaled") / F.col("made")).alias("qty"))
-    start = d.targets(spark, sf).join(F.broadcast(spark.createDataFrame(SCENARIOS, "scenario string, factor double").select("scenario")))
-    return bom.explode(edges, start, ["scenario"]).select("scenario", "target", "item", F.round("per_target", 4).alias("per_target"), "depth")
+    return bom.explode(edges, keys=["scenario"]).select("scenario", "target", "item", F.round("per_target", 4).alias("per_target"), "depth")
 
 
 def route_pins_override(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +66,7 @@ def coproduct_leaves(spark: SparkSession, sf: str) -> DataFrame:
 def demand(spark: SparkSession, sf: str) -> DataFrame:
     """phase, item, qty: deliveries and all that they take."""
     due = d.deliveries(spark, sf)
-    per = bom.explode(d.edges(spark, sf), d.targets(spark, sf))
+    per = bom.explode(d.edges(spark, sf))
     below = due.join(per.withColumnRenamed("item", "part"), due["item"] == per["target"]).select("phase", F.col("part").alias("item"), (F.col("qty") * F.col("per_target")).alias("qty"))
     return due.select("phase", "item", "qty").unionByName(below).groupBy("phase", "item").agg(F.sum("qty").alias("qty"))
 
@@ -92,38 +91,38 @@ def first_last_phase(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alt_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    """The targets' coefficients with all alternates against those without."""
-    base = bom.explode(d.edges(spark, sf), d.targets(spark, sf))
-    other = bom.explode(bom.routed(d.edges(spark, sf), d.alternates(spark, sf)), d.targets(spark, sf))
+    """All coefficients with all alternates against those without."""
+    base = bom.explode(d.edges(spark, sf))
+    other = bom.explode(bom.routed(d.edges(spark, sf), d.alternates(spark, sf)))
     rows = bom.compared(base, other, ["target", "item"], "per_target", 1e-6)
     return rows.select("target", "item", "change", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), F.round("ratio", 6).alias("ratio"))
 
 
-def _sweep(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Coefficients of the targets for each single alternate among the first items, and base."""
-    alts = d.alternates(spark, sf).where("parent < 120")
-    pins = alts.select(F.col("parent").alias("variant"))
-    edges = d.edges(spark, sf).where("parent < 120")  # no larger part is below a target
-    each = F.broadcast(pins).join(edges, F.col("variant") != F.col("parent")).unionByName(alts.select(F.col("parent").alias("variant"), "parent", "child", "qty"))
-    start = d.targets(spark, sf).join(F.broadcast(pins))
-    return bom.explode(edges, d.targets(spark, sf)), bom.explode(each, start, ["variant"])
+def alt_sweep_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """For each alternate on its own: coefficients changed, new, removed and same over all items.
 
+    One recipe's change moves a coefficient by what the target takes of its product times the
+    difference of the two recipes' own coefficients, so no variant is expanded again."""
+    alts = d.alternates(spark, sf)
+    return bom.swept(bom.explode(d.edges(spark, sf)), alts)
 
-def alt_sweep_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """For each alternate on its own: items changed, new and removed over all targets."""
-    base, each = _sweep(spark, sf)
-    wide = base.join(F.broadcast(each.select("variant").distinct()))
-    rows = bom.compared(wide, each, ["variant", "target", "item"], "per_target", 1e-6)
-    n = lambda k: F.count_if(F.col("change") == k).alias(k)
-    return rows.groupBy("variant").agg(n("changed"), n("new"), n("removed"), n("same"))
+
+#: What-if plans: the alternates are dealt to so many by number.
+PLANS = 8
 
 
 def variant_regret_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of alternates: how much more raw resource one takes than the other."""
-    _, each = _sweep(spark, sf)
-    raw = each.where(F.col("item") < d.RAW).groupBy("variant").agg(F.sum("per_target").alias("raw"))
+    """Eight plans, each with an eighth of all alternates: for every two how much more raw
+    resource one takes for all deliveries than the other."""
+    alts = d.alternates(spark, sf).withColumn("variant", F.expr(f"parent div 7 % {PLANS}"))
+    plans = spark.range(PLANS).select(F.col("id").alias("variant"))
+    edges = d.edges(spark, sf).join(F.broadcast(plans))  # eight rows
+    kept = edges.join(alts.select("variant", "parent"), ["variant", "parent"], "left_anti").unionByName(alts.select("variant", "parent", "child", "qty"))
+    due = d.deliveries(spark, sf).groupBy("item").agg(F.sum("qty").alias("due"))
+    per = bom.explode(kept, keys=["variant"]).where(F.col("item") < d.RAW).select("variant", F.col("target").alias("item"), "per_target")
+    raw = per.join(due, "item").groupBy("variant").agg(F.sum(F.col("per_target") * F.col("due")).alias("raw"))
     a, b = raw.select(F.col("variant").alias("a"), F.col("raw").alias("ra")), raw.select(F.col("variant").alias("b"), F.col("raw").alias("rb"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(F.col("ra") - F.col("rb"), 4).alias("difference"), F.round(F.greatest(F.lit(0.0), F.col("ra") - F.col("rb")), 4).alias("regret"))
+    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(F.col("ra") / F.col("rb"), 6).alias("ratio"), (F.col("ra") > F.col("rb")).alias("regret"))
 
 
 def _recipes(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,7 +138,7 @@ def reachability_closure(spark: SparkSession, sf: str) -> DataFrame:
 
 def unlock_hints_whatif(spark: SparkSession, sf: str) -> DataFrame:
     """For each missing raw resource, how many more items it would open."""
-    recipes = _recipes(spark, sf).where("recipe < 400")
+    recipes = _recipes(spark, sf)
     raws = d.items(spark, sf).where("raw").select("item")
     missing = raws.where("item % 3 = 0").select(F.col("item").alias("added"))
     base = bom.closure(recipes, raws.where("item % 3 <> 0")).count()
@@ -150,8 +149,8 @@ def unlock_hints_whatif(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (bom_direct_edges, bom_explosion, recipe_scaled_rounding, bom_scenario_scaled, route_pins_override, route_census, coproduct_leaves, phase_demand, phase_growth, phase_cumulative_remaining, first_last_phase, alt_sensitivity, alt_sweep_summary, variant_regret_matrix, reachability_closure, unlock_hints_whatif)}
 
-_DEMAND = BOM + """per AS (SELECT target, item, sum(qty) AS per_target FROM expansion WHERE target BETWEEN 100 AND 119 GROUP BY 1, 2),
-needs AS (SELECT phase, item, qty FROM delivery UNION ALL SELECT phase, p.item, d.qty * per_target FROM delivery d JOIN per p ON d.item = p.target),
+_PER = BOM + """per AS (SELECT target, item, sum(qty) AS per_target FROM expansion GROUP BY 1, 2)"""
+_DEMAND = _PER + """, needs AS (SELECT phase, item, qty FROM delivery UNION ALL SELECT phase, p.item, d.qty * per_target FROM delivery d JOIN per p ON d.item = p.target),
 due AS (SELECT phase, item, sum(qty) AS qty FROM needs GROUP BY 1, 2)
 """
 _DENSE = """dense AS (SELECT i.item, p.phase, coalesce(d.qty, 0) AS qty FROM (SELECT DISTINCT item FROM delivery) i CROSS JOIN (SELECT DISTINCT phase FROM delivery) p LEFT JOIN delivery d ON d.item = i.item AND d.phase = p.phase)
@@ -160,19 +159,12 @@ _SCALED = """scenario(scenario, factor) AS (VALUES ('half', 0.5), ('base', 1.0),
 exact AS (SELECT scenario, parent, child, ord, made, factor, (amount * 0.7)::DECIMAL(18,6) * factor::DECIMAL(9,4) AS x, (amount * 0.7) AS raw, child % 5 = 0 AS fluid FROM recipe_io, scenario),
 scaled AS (SELECT scenario, parent, child, ord, made, CASE WHEN fluid THEN round(x, 3) WHEN factor < 1 AND raw >= 1 THEN greatest(round(x, 0), 1) ELSE round(x, 0) END::DOUBLE AS scaled FROM exact)
 """
-_SWEEP = """expansion AS (
-  SELECT v.parent AS variant, t.target AS root, t.target AS item, 1.0::DOUBLE AS qty FROM (SELECT parent FROM alternate WHERE parent < 120 UNION ALL SELECT -1) v, (SELECT p_partkey AS target FROM part WHERE p_partkey BETWEEN 100 AND 119) t
-  UNION ALL
-  SELECT x.variant, x.root, e.child, x.qty * e.qty FROM expansion x JOIN (SELECT parent, child, qty, FALSE AS alt FROM edge UNION ALL SELECT parent, child, qty, TRUE FROM alternate) e ON e.parent = x.item AND e.alt = (x.variant = e.parent)),
-per AS (SELECT variant, root AS target, item, sum(qty) AS q FROM expansion WHERE item <> root GROUP BY 1, 2, 3)
-"""
-
 SQL = {
     "bom_direct_edges": sql("recipe_io edge", "SELECT parent, child, round(qty, 6) AS qty FROM edge"),
     "bom_explosion": sql("recipe_io edge", BOM.rstrip().rstrip(",") + " SELECT target, item, round(sum(qty), 6) AS per_target, min(depth) AS depth FROM expansion GROUP BY 1, 2", True),
     "recipe_scaled_rounding": sql("recipe_io", _SCALED + "SELECT scenario, parent, child, ord, round(scaled, 3) AS scaled FROM scaled"),
     "bom_scenario_scaled": sql("recipe_io", _SCALED.rstrip() + """,
-expansion AS (SELECT scenario, parent AS target, child AS item, scaled / made AS qty, 1 AS depth FROM scaled WHERE parent BETWEEN 100 AND 119
+expansion AS (SELECT scenario, parent AS target, child AS item, scaled / made AS qty, 1 AS depth FROM scaled
   UNION ALL SELECT x.scenario, x.target, e.child, x.qty * (e.scaled / e.made), x.depth + 1 FROM expansion x JOIN scaled e ON e.parent = x.item AND e.scenario = x.scenario)
 SELECT scenario, target, item, round(sum(qty), 4) AS per_target, min(depth) AS depth FROM expansion GROUP BY 1, 2, 3""", True),
     "route_pins_override": sql("recipe_io edge alternate", "SELECT parent, child, round(qty, 6) AS qty FROM (SELECT * FROM edge WHERE parent NOT IN (SELECT parent FROM alternate) UNION ALL SELECT * FROM alternate) WHERE parent % 11 <> 0"),
@@ -184,12 +176,22 @@ SELECT item, count(DISTINCT recipe) AS producers, count(DISTINCT recipe) FILTER
     "phase_cumulative_remaining": sql("delivery", _DENSE + "SELECT item, phase, sum(qty) OVER (PARTITION BY item ORDER BY phase) AS running, sum(qty) OVER (PARTITION BY item) - sum(qty) OVER (PARTITION BY item ORDER BY phase) AS remaining FROM dense"),
     "first_last_phase": sql("recipe_io edge delivery", _DEMAND + "SELECT item, min(phase) FILTER (qty > 0) AS first_phase, max(phase) FILTER (qty > 0) AS last_phase FROM due GROUP BY 1", True),
     "alt_sensitivity": sql("recipe_io edge alternate", """route AS (SELECT *, 'before' AS v FROM edge UNION ALL SELECT *, 'after' FROM edge WHERE parent NOT IN (SELECT parent FROM alternate) UNION ALL SELECT *, 'after' FROM alternate),
-expansion AS (SELECT v, parent AS target, child AS item, qty FROM route WHERE parent BETWEEN 100 AND 119 UNION ALL SELECT x.v, x.target, e.child, x.qty * e.qty FROM expansion x JOIN route e ON e.parent = x.item AND e.v = x.v),
+expansion AS (SELECT v, parent AS target, child AS item, qty FROM route UNION ALL SELECT x.v, x.target, e.child, x.qty * e.qty FROM expansion x JOIN route e ON e.parent = x.item AND e.v = x.v),
 per AS (SELECT target, item, sum(qty) FILTER (v = 'before') AS b, sum(qty) FILTER (v = 'after') AS a FROM expansion GROUP BY 1, 2)
 SELECT target, item, CASE WHEN b IS NULL THEN 'new' WHEN a IS NULL THEN 'removed' WHEN abs(a - b) > 1e-6 THEN 'changed' ELSE 'same' END AS change, round(b, 6) AS before, round(a, 6) AS after, CASE WHEN b <> 0 THEN round(a / b, 6) END AS ratio FROM per""", True),
-    "alt_sweep_summary": sql("recipe_io edge alternate", _SWEEP.rstrip() + """,
-keys AS (SELECT v.variant, k.target, k.item FROM (SELECT DISTINCT variant FROM per WHERE variant >= 0) v JOIN per k ON k.variant IN (-1, v.variant) GROUP BY ALL)
-SELECT k.variant, count(*) FILTER (b.q IS NOT NULL AND a.q IS NOT NULL AND abs(a.q - b.q) > 1e-6) AS changed, count(*) FILTER (b.q IS NULL) AS new, count(*) FILTER (a.q IS NULL) AS removed, count(*) FILTER (b.q IS NOT NULL AND a.q IS NOT NULL AND abs(a.q - b.q) <= 1e-6) AS same
-FROM keys k LEFT JOIN per b ON b.variant = -1 AND b.target = k.target AND b.item = k.item LEFT JOIN per a ON a.variant = k.variant AND a.target = k.target AND a.item = k.item GROUP BY 1""", True),
-    "variant_regret_matrix": sql("recipe_io edge alternate", _SWEEP.rstrip() + ", raw AS (SELECT variant, sum(q) AS r FROM per WHERE item < 25 AND variant >= 0 GROUP BY 1) SELECT x.variant AS a, y.variant AS b, round(x.r - y.r, 4) AS difference, round(greatest(0.0, x.r - y.r), 4) AS regret FROM raw x JOIN raw y ON x.variant < y.variant", True),
+    "alt_sweep_summary": sql("recipe_io edge alternate", _PER + """,
+own AS (SELECT a.parent AS v, a.child AS item, a.qty AS q FROM alternate a UNION ALL SELECT a.parent, p.item, a.qty * p.per_target FROM alternate a JOIN per p ON p.target = a.child UNION ALL SELECT a.parent, p.item, -p.per_target FROM (SELECT DISTINCT parent FROM alternate) a JOIN per p ON p.target = a.parent),
+move AS (SELECT v, item, sum(q) AS q FROM own GROUP BY 1, 2),
+takes AS (SELECT target, item AS v, per_target AS q FROM per UNION ALL SELECT DISTINCT parent, parent, 1.0 FROM alternate),
+hit AS (SELECT m.v, CASE WHEN p.per_target IS NULL THEN 'new' WHEN abs(p.per_target + t.q * m.q) <= 1e-9 THEN 'removed' WHEN abs(t.q * m.q) > 1e-6 THEN 'changed' ELSE 'same' END AS kind FROM move m JOIN takes t ON t.v = m.v LEFT JOIN per p ON p.target = t.target AND p.item = m.item WHERE p.per_target IS NOT NULL OR t.q * m.q > 1e-9)
+SELECT v AS variant, count(*) FILTER (kind = 'changed') AS changed, count(*) FILTER (kind = 'new') AS new, count(*) FILTER (kind = 'removed') AS removed, (SELECT count(*) FROM per) - count(*) FILTER (kind IN ('changed', 'removed')) AS same FROM hit GROUP BY 1""", True),
+    "variant_regret_matrix": sql("recipe_io edge alternate delivery", """plan AS (SELECT unnest(range(8)) AS v), route AS (SELECT v, e.parent, e.child, e.qty FROM edge e, plan WHERE NOT EXISTS (SELECT 1 FROM alternate a WHERE a.parent = e.parent AND a.parent // 7 % 8 = v) UNION ALL SELECT parent // 7 % 8, parent, child, qty FROM alternate),
+expansion AS (SELECT v, parent AS target, child AS item, qty FROM route UNION ALL SELECT x.v, x.target, e.child, x.qty * e.qty FROM expansion x JOIN route e ON e.parent = x.item AND e.v = x.v),
+raw AS (SELECT v, sum(x.qty * d.qty) AS r FROM expansion x JOIN (SELECT item, sum(qty) AS qty FROM delivery GROUP BY 1) d ON d.item = x.target WHERE x.item < 25 GROUP BY 1)
+SELECT x.v AS a, y.v AS b, round(x.r / y.r, 6) AS ratio, x.r > y.r AS regret FROM raw x JOIN raw y ON x.v < y.v""", True),
+    "reachability_closure": sql("recipe_io item", """down AS (SELECT DISTINCT parent AS target, child AS item, 1 AS depth FROM recipe_io UNION SELECT d.target, r.child, d.depth + 1 FROM down d JOIN recipe_io r ON r.parent = d.item),
+made AS (SELECT target AS item, max(depth) AS round FROM down GROUP BY 1 HAVING count(*) FILTER (item < 25 AND item % 3 = 0) = 0) SELECT item, round::INT AS round FROM made UNION ALL SELECT item, 0 FROM item WHERE raw AND item % 3 <> 0""", True),
+    "unlock_hints_whatif": sql("recipe_io item", """down AS (SELECT DISTINCT parent AS target, child AS item FROM recipe_io UNION SELECT d.target, r.child FROM down d JOIN recipe_io r ON r.parent = d.item),
+lack AS (SELECT target, min(item) AS one FROM down WHERE item < 25 AND item % 3 = 0 GROUP BY 1 HAVING count(*) = 1)
+SELECT i.item AS added, 1 + count(target) AS opens FROM item i LEFT JOIN lack ON one = i.item WHERE raw AND i.item % 3 = 0 GROUP BY 1""", True),
 }

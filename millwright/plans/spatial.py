@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millwright.functions.scalars import graded, shape_class, size_class, turn_steps
 from millwright.operators import graph, spatial, windows
 from millwright.plans import domain as d
-from millwright.plans.domain import sql
+from millwright.plans.domain import _CC, _LINKS, _PATHS, sql
 from millwright.session import table
 
 RADIUS = 50.0
@@ -167,7 +167,7 @@ def edge_aggregate_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     """Customers linked by orders of one day and priority: components over the key's chain."""
-    orders = table(spark, sf, "orders").where("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("cust"), F.concat_ws("/", F.col("o_orderdate").cast("date").cast("string"), "o_orderpriority").alias("k"), "o_orderkey")
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("cust"), F.concat_ws("/", F.col("o_orderdate").cast("date").cast("string"), "o_orderpriority").alias("k"), "o_orderkey")
     nxt = F.lead("cust").over(Window.partitionBy("k").orderBy("cust", "o_orderkey"))
     edges = orders.select(F.col("cust").alias("a"), nxt.alias("b")).where("b IS NOT NULL AND a <> b").distinct()
     return graph.components(orders.select(F.col("cust").alias("id")).distinct(), edges)
@@ -215,7 +215,7 @@ _REACH = """reach AS (SELECT id AS a, id AS b FROM node UNION SELECT r.a, l.b FR
 
 _REGIONS = """cell AS (SELECT id, r, c, floor(z / 50)::BIGINT AS band FROM terrain), node AS (SELECT id FROM cell),
 link AS (SELECT x.id AS a, y.id AS b FROM cell x JOIN cell y ON x.band = y.band AND (x.r = y.r AND abs(x.c - y.c) = 1 OR x.c = y.c AND abs(x.r - y.r) = 1)),
-""" + _REACH + """, label AS (SELECT a AS id, min(b) AS region FROM reach GROUP BY 1), regions AS (SELECT region, band, r, c FROM cell JOIN label USING (id))"""
+""" + _CC + """, regions AS (SELECT comp AS region, band, r, c FROM cell JOIN cc USING (id))"""
 
 SQL = {
     "radius_neighborhoods": sql("socket", _NEAR + " SELECT l_id AS id, count(*) AS n, count(DISTINCT r_item) AS items, round(max(dist), 4) AS reach FROM near WHERE dist <= 50 GROUP BY 1 HAVING count(*) >= 3"),
@@ -227,9 +227,7 @@ SQL = {
     "size_shape_classify": sql("terrain", _REGIONS + """, b AS (SELECT region, max(r) - min(r) + 1 AS h, max(c) - min(c) + 1 AS w FROM regions GROUP BY 1 HAVING count(*) >= 2)
 SELECT region, h, w, CASE WHEN greatest(h, w) >= 8 AND least(h, w) >= 4 THEN 'large' WHEN greatest(h, w) >= 4 AND least(h, w) >= 2 THEN 'medium' WHEN greatest(h, w) >= 2 AND least(h, w) >= 1 THEN 'small' ELSE 'none' END AS size,
 CASE WHEN greatest(h, w) / least(h, w) < 1.5 THEN 'compact' WHEN greatest(h, w) / least(h, w) < 3 THEN 'oblong' ELSE 'strip' END AS shape FROM b""", True),
-    "connected_components": sql("", """orders_ AS (SELECT o_custkey AS cust, o_orderdate::DATE AS day, o_orderpriority AS p, o_orderkey FROM orders WHERE o_orderkey % 20 = 0),
-node AS (SELECT DISTINCT cust AS id FROM orders_), e AS (SELECT cust AS a, lead(cust) OVER (PARTITION BY day, p ORDER BY cust, o_orderkey) AS b FROM orders_),
-link AS (SELECT a, b FROM e WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM e WHERE b IS NOT NULL AND a <> b), """ + _REACH + " SELECT a AS id, min(b) AS component FROM reach GROUP BY 1", True),
+    "connected_components": sql("", _LINKS + " SELECT id, comp AS component FROM cc", True),
     "raster_block_stats": sql("terrain", "SELECT r // 10 AS br, c // 10 AS bc, count(*) AS n, count(z) AS valid, round(min(z), 4) AS least, round(max(z), 4) AS most, round(avg(z), 4) AS mean, round(median(z), 4) AS median, round(quantile_cont(z, 0.9), 4) AS p90 FROM terrain GROUP BY 1, 2"),
     "raster_box_mean": sql("terrain", "SELECT a.r, a.c, count(b.z) AS box_n, round(sum(b.z) / count(b.z), 4) AS mean FROM terrain a JOIN terrain b ON b.r BETWEEN a.r - 3 AND a.r + 3 AND b.c BETWEEN a.c - 3 AND a.c + 3 GROUP BY 1, 2"),
     "footprint_relief": sql("terrain", "SELECT a.r, a.c, round(max(b.z) - min(b.z), 4) AS relief FROM terrain a JOIN terrain b ON b.r BETWEEN a.r - 2 AND a.r + 2 AND b.c BETWEEN a.c - 2 AND a.c + 2 GROUP BY 1, 2 HAVING count(b.z) = 25"),
@@ -247,7 +245,7 @@ SELECT r, c, round(grade, 6) AS grade, grade <= 15 AS passable FROM g"""),
     "band_crossings": sql("terrain", _LAYERS + """, n AS (SELECT a.cell, a.layer AS la, b.layer AS lb, round(abs(a.level - b.level), 6) AS dz FROM layers a JOIN layers b ON b.cell = a.cell + 1 WHERE abs(a.level - b.level) <= 10),
 k AS (SELECT *, row_number() OVER (PARTITION BY cell, la ORDER BY dz, lb) AS x, row_number() OVER (PARTITION BY cell, lb ORDER BY dz, la) AS y FROM n) SELECT cell, la, lb, dz FROM k WHERE x <= 2 OR y <= 2"""),
     "edge_aggregate_pairs": sql("trade", "SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n, min(cost) AS least, max(cost) AS most, sum(cost) AS total FROM trade GROUP BY 1, 2"),
-    "shortest_paths_relax": sql("trade", "p AS (SELECT a AS source, a AS node, 0.0::DOUBLE AS cost, 0 AS hops FROM trade UNION SELECT p.source, t.b, p.cost + t.cost, p.hops + 1 FROM p JOIN trade t ON t.a = p.node WHERE p.hops < 12 AND p.cost + t.cost <= 300) SELECT source, node, min(cost) AS cost FROM p GROUP BY 1, 2", True),
+    "shortest_paths_relax": sql("trade", _PATHS + " SELECT source, node, cost FROM p", True),
     "path_segments_lag": "WITH e AS (SELECT user_id, event_id, ts, value, round(value - coalesce(lag(value) OVER w, value), 4) AS rise FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, event_id, rise, round(sum(abs(rise)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS length, CASE WHEN abs(rise) >= 100 THEN 'steep' WHEN abs(rise) >= 20 THEN 'sloped' ELSE 'flat' END AS grade FROM e",
     "sizing_levels": sql("recipe_io", "w AS (SELECT DISTINCT parent AS node, 0 AS level FROM recipe_io UNION SELECT DISTINCT child, 0 FROM recipe_io UNION SELECT i.child, w.level + 1 FROM w JOIN recipe_io i ON i.parent = w.node) SELECT node, max(level) AS level FROM w GROUP BY 1", True),
     "turn_costs": "WITH e AS (SELECT user_id, event_id, floor(value)::INT % 8 AS way, lag(floor(value)::INT % 8) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) SELECT user_id, event_id, CASE WHEN was IS NOT NULL THEN least(abs(way - was) % 8, 8 - abs(way - was) % 8) END AS turn FROM e",

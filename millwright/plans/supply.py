@@ -80,12 +80,22 @@ def unlock_text(spark: SparkSession, sf: str) -> DataFrame:
     return d.schematics(spark, sf).select("id", text.alias("t")).select("id", unlock_tier(F.col("t")).alias("tier"), unlock_milestone(F.col("t")).alias("milestone"))
 
 
+def packing_recipes(spark: SparkSession, sf: str) -> DataFrame:
+    """recipe, direction, item: every liquid is packed into an item of its own, and most are
+    unpacked again."""
+    liquid = d.items(spark, sf).where("form = 'liquid'").select("item")
+    two = lambda rows, base, a, b: rows.select((F.col("item") + base).alias("recipe"), F.explode(F.array(F.struct(F.lit("input").alias("direction"), a.alias("item")), F.struct(F.lit("output").alias("direction"), b.alias("item")))).alias("e")).select("recipe", "e.*")
+    item, packed = F.col("item"), F.col("item") + 2000000
+    return two(liquid, 2000000, item, packed).unionByName(two(liquid.where("item % 4 <> 0"), 3000000, packed, item))
+
+
 def inverse_recipes(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of nations whose trade sets are each other's reverse in count: links a to b with a
-    link back."""
-    t = d.trade(spark, sf)
-    back = t.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("cost").alias("back"))
-    return t.join(back, ["a", "b"]).where("a < b").select("a", "b", "cost", "back")
+    """Pairs of recipes that undo each other: what one takes the other makes, and back."""
+    rows = d.recipe_io(spark, sf).select(F.col("parent").alias("recipe"), F.lit("input").alias("direction"), F.col("child").alias("item")).unionByName(d.recipe_io(spark, sf).select(F.col("parent").alias("recipe"), F.lit("output").alias("direction"), F.col("parent").alias("item"))).unionByName(packing_recipes(spark, sf))
+    side = lambda k: F.array_sort(F.collect_set(F.when(F.col("direction") == k, F.col("item")))).alias(k)
+    signed = rows.groupBy("recipe").agg(side("input"), side("output"))
+    other = signed.select(F.col("recipe").alias("back"), F.col("output").alias("input"), F.col("input").alias("output"))
+    return signed.join(other, ["input", "output"]).where("recipe < back").select("recipe", "back")
 
 
 # Caps, ledgers, bills ---------------------------------------------------------------------
@@ -143,7 +153,7 @@ def fixed_route_ceiling(spark: SparkSession, sf: str) -> DataFrame:
     """How many of each target per minute the raw caps allow, and the raw that binds."""
     from millwright.operators import bom
 
-    per = bom.explode(d.edges(spark, sf), d.targets(spark, sf))
+    per = bom.explode(d.edges(spark, sf))
     raw = d.items(spark, sf).where("raw").select("item")
     caps = planning.filled_caps(raw, _caps(spark, sf)).withColumn("cap", F.when(F.col("item") < 10, F.col("cap")))  # others unlimited
     return planning.ceiling(per, caps, ["target"]).select("target", F.round("scale", 4).alias("scale"), "binding")
@@ -294,8 +304,8 @@ def storage_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chain_boundary_draw(spark: SparkSession, sf: str) -> DataFrame:
-    """What a chain of items draws from outside itself, by item drawn."""
-    members = d.items(spark, sf).where("item BETWEEN 100 AND 400").select("item")
+    """What a chain of items, all gases, draws from outside itself, by item drawn."""
+    members = d.items(spark, sf).where("form = 'gas'").select("item")
     io = d.edges(spark, sf)
     inside = io.join(members, io["parent"] == members["item"], "left_semi")
     return inside.join(members, inside["child"] == members["item"], "left_anti").groupBy(F.col("child").alias("item")).agg(F.round(F.sum("qty"), 6).alias("draw"), F.count("*").alias("users"))
@@ -350,7 +360,7 @@ SQL = {
     "extractors_open_semi": f"SELECT 'Desc_' || s_suppkey AS descriptor, s_nationkey AS nation FROM supplier WHERE s_suppkey IN (SELECT p_partkey FROM part WHERE p_size % 10 <= {TIER})",
     "schematic_costs_by_tier": sql("schematic", "SELECT tier, kind, sum(l_quantity)::BIGINT AS units, count(DISTINCT id) AS schematics FROM lineitem JOIN schematic ON l_partkey = id GROUP BY 1, 2"),
     "unlock_text": sql("schematic", "SELECT id, CASE WHEN tier <> 9 THEN tier END AS tier, CASE WHEN tier <> 9 THEN kind END AS milestone FROM schematic"),
-    "inverse_recipes": sql("trade", "SELECT t.a, t.b, t.cost, u.cost AS back FROM trade t JOIN trade u ON t.a = u.b AND t.b = u.a WHERE t.a < t.b"),
+    "inverse_recipes": sql("item", "SELECT item + 2000000 AS recipe, item + 3000000 AS back FROM item WHERE form = 'liquid' AND item % 4 <> 0"),
     "resource_caps_outer_fill": sql("item socket", _CAPS + " SELECT i.item, round(coalesce(cap, 0), 4) AS cap FROM item i LEFT JOIN cap USING (item) WHERE raw"),
     "extraction_segments": sql("socket", "SELECT item, purity, count(*) AS n, round(sum(CASE purity WHEN 0 THEN 30.0::DOUBLE WHEN 1 THEN 60.0 ELSE 120.0 END * 1.5::DOUBLE), 4) AS rate, round(15.0::DOUBLE * power(1.5::DOUBLE, 1.321929::DOUBLE) * count(*), 4) AS mw FROM socket GROUP BY 1, 2"),
     "purity_weight_guard": sql("socket", "SELECT DISTINCT purity, CASE purity WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS weight FROM socket"),
@@ -358,7 +368,7 @@ SQL = {
     "item_flow_ledger": f"WITH {_LEDGER} SELECT * FROM ledger",
     "byproduct_disposition": sql("item", _LEDGER + """, w AS (SELECT l.item, form, "left", CASE WHEN raw THEN 'store' WHEN form = 'solid' THEN 'sink' WHEN form = 'liquid' AND l.item % 2 = 0 THEN 'package' WHEN form = 'gas' THEN 'burn' ELSE 'refuse' END AS way FROM ledger l JOIN item USING (item) WHERE "left" > 0.5)
 SELECT item, form, "left", way, CASE WHEN way = 'sink' THEN "left" * (item % 12 + 1) ELSE 0.0 END AS points FROM w"""),
-    "fixed_route_ceiling": sql("recipe_io edge item socket", _CAPS + """, x AS (SELECT parent AS target, child AS item, qty FROM edge WHERE parent BETWEEN 100 AND 119 UNION ALL SELECT x.target, e.child, x.qty * e.qty FROM x JOIN edge e ON e.parent = x.item),
+    "fixed_route_ceiling": sql("recipe_io edge item socket", _CAPS + """, x AS (SELECT parent AS target, child AS item, qty FROM edge UNION ALL SELECT x.target, e.child, x.qty * e.qty FROM x JOIN edge e ON e.parent = x.item),
 room AS (SELECT target, i.item, coalesce(cap, 0) / sum(qty) AS room FROM x JOIN item i ON i.item = x.item LEFT JOIN cap c ON c.item = i.item WHERE raw AND i.item < 10 GROUP BY target, i.item, cap)
 SELECT target, round(min(room), 4) AS scale, min(item) FILTER (room <= m) AS binding FROM (SELECT *, min(room) OVER (PARTITION BY target) AS m FROM room) GROUP BY 1""", True),
     "machine_counts_ceil": f"WITH {_LINES} SELECT item, demand, machines, CASE WHEN machines > 0 THEN round(100 * demand / (per_machine * machines), 4) END AS clock FROM mach",
@@ -380,7 +390,7 @@ SELECT site, unit, mw, greatest(0.0, least(mw, need - before)) AS taken, greates
     "lag_table": sql("delivery", "SELECT item, open::DOUBLE AS open, round(qty / (10 * (1 - open::DOUBLE)), 4) AS finish, round(10 / (1 - open::DOUBLE), 4) AS catch_up FROM delivery, (VALUES (0.1), (0.25), (0.5)) v(open) WHERE phase = 1"),
     "pa_duration_banks": sql("delivery", "f AS (SELECT phase, item, qty, 100.0::DOUBLE + item % 7 * 10 AS fill FROM delivery), m AS (SELECT phase, item, CASE WHEN qty <= 4 * fill THEN qty / 4 ELSE fill + (qty - 4 * fill) / 9 END AS minutes FROM f) SELECT phase, item, round(minutes, 4) AS minutes, round(max(minutes) OVER (PARTITION BY phase), 4) AS phase_minutes FROM m"),
     "storage_fill": sql("item", _LINES + " SELECT item, (24 * stack)::BIGINT AS capacity, round(24 * stack / (per_machine * 0.1::DOUBLE), 4) AS fill_minutes, round(least(1.0::DOUBLE, per_machine * 0.1::DOUBLE * 120 / (24 * stack)), 6) AS share FROM line JOIN item USING (item) WHERE form = 'solid'"),
-    "chain_boundary_draw": sql("recipe_io edge", "SELECT child AS item, round(sum(qty), 6) AS draw, count(*) AS users FROM edge WHERE parent BETWEEN 100 AND 400 AND child NOT BETWEEN 100 AND 400 GROUP BY 1"),
+    "chain_boundary_draw": sql("item recipe_io edge", "g AS (SELECT item FROM item WHERE form = 'gas') SELECT child AS item, round(sum(qty), 6) AS draw, count(*) AS users FROM edge WHERE parent IN (FROM g) AND child NOT IN (FROM g) GROUP BY 1"),
     "poi_state_counts": "SELECT p_type AS kind, CASE WHEN p_partkey % 6 = 0 THEN 'destroyed' WHEN p_partkey % 4 = 1 THEN 'collected' ELSE 'open' END AS state, count(*) AS n FROM part GROUP BY 1, 2",
     "newest_save": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1",
     "manifest_diff": "WITH o AS (SELECT o_orderkey AS path, sha256(o_custkey || '|' || o_orderstatus) AS sha FROM orders), b AS (SELECT * FROM o WHERE path % 10 <> 3), a AS (SELECT path, CASE WHEN path % 17 = 0 THEN 'edited' ELSE sha END AS sha FROM o WHERE path % 10 <> 4), j AS (SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.sha IS NULL THEN 'added' WHEN a.sha IS NULL THEN 'removed' WHEN a.sha <> b.sha THEN 'changed' END AS change FROM b FULL JOIN a ON a.path = b.path) SELECT * FROM j WHERE change IS NOT NULL",

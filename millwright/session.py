@@ -13,9 +13,24 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch between Spark and Python. Spark's own 10,000 long texts are tens of
+#: megabytes in every task and worker.
+BATCH = 1024
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """`spark`, whose Arrow batches have at most `BATCH` rows; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+    return spark
+
+
 def shipped(spark: SparkSession) -> SparkSession:
-    """`spark`, whose Python workers find this package where the driver found it. On a cluster
-    the package is installed or sent with --py-files, and an absent path does no harm."""
+    """`spark`, whose Python workers find this package where the driver found it, with small
+    batches. On a cluster the package is installed or sent with --py-files, and an absent path does
+    no harm."""
+    small_batches(spark)
     root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:

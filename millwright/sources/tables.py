@@ -32,6 +32,10 @@ SCHEMAS = {
     "schematic_costs": "schematic_id STRING, item_id STRING, amount DOUBLE",
     "building_recipes": "recipe_id STRING, display_name STRING, building_class STRING",
     "world_resource_sockets": "socket_id STRING, source_kind STRING, east_m DOUBLE, north_m DOUBLE, elevation_m DOUBLE",
+    "resource_extraction_map": "item_id STRING, display_name STRING, form STRING, extractor_class STRING, extractor_name STRING, requires_activator BOOLEAN",
+    "progression_clusters": "progression_cluster_id STRING, display_name STRING, sort_order INT, notes STRING",
+    "alternate_recipe_unlocks": "recipe_id STRING, recipe_name STRING, progression_cluster_id STRING, eligibility_type STRING",
+    "exploration_pois": "poi_id STRING, poi_type STRING, source_object_id STRING, source_cell STRING, east_m DOUBLE, north_m DOUBLE, elevation_m DOUBLE",
     "resource_assignments": "world_config_id STRING, socket_id STRING, resource_id STRING, purity STRING",
 }
 
