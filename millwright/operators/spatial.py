@@ -52,14 +52,26 @@ def block_stats(cells: DataFrame, size: int, value: str = "z") -> DataFrame:
     )
 
 
+def _filled(cells: DataFrame, radius: int) -> DataFrame:
+    """`cells` with `_own`, and rows without values for the missing cells of each row that are within
+    a radius of a cell, as a window over columns must see them. A dense raster gains its margin."""
+    w = _line("r", "c")
+    before, after = F.col("c") - F.lag("c").over(w) - 1, F.lead("c").over(w) - F.col("c") - 1
+    left = F.when(before.isNull(), radius).otherwise(F.least(F.lit(radius), F.greatest(F.lit(0), before - radius)))  # what the cell before does not fill
+    right = F.when(after.isNull(), radius).otherwise(F.least(F.lit(radius), after))
+    wide = at_home(tiled(cells, "c", 2 * radius + 1, 2 * radius + 1).withColumn("_to", F.sequence(-left, right)), "c")
+    each = wide.withColumn("_k", F.explode("_to")).withColumn("_own", F.col("_k") == 0)
+    return each.select("r", (F.col("c") + F.col("_k")).alias("c"), "_own", *(F.when(F.col("_own"), F.col(k)).alias(k) for k in cells.columns if k not in ("r", "c")))
+
+
 def box(cells: DataFrame, radius: int, value: str = "z") -> DataFrame:
     """cells with box_n, box_sum, box_min, box_max over the (2 radius + 1) square around each
     cell; missing cells and nulls count as absent."""
     along, across = (_line(near, axis).rangeBetween(-radius, radius) for near, axis in (("r", "c"), ("c", "r")))
     v = F.col(value)
-    row = tiled(cells, "c", radius, radius).select("*", F.count(v).over(along).alias("_n"), F.sum(v).over(along).alias("_s"), F.min(v).over(along).alias("_l"), F.max(v).over(along).alias("_h"))
-    both = tiled(at_home(row, "c"), "r", radius, radius).select(*cells.columns, "_tile", F.sum("_n").over(across).alias("box_n"), F.sum("_s").over(across).alias("box_sum"), F.min("_l").over(across).alias("box_min"), F.max("_h").over(across).alias("box_max"))
-    return at_home(both, "r")
+    row = tiled(_filled(cells, radius), "c", radius, radius).select("*", F.count(v).over(along).alias("_n"), F.sum(v).over(along).alias("_s"), F.min(v).over(along).alias("_l"), F.max(v).over(along).alias("_h"))
+    both = tiled(at_home(row, "c"), "r", radius, radius).select(*cells.columns, "_own", "_tile", F.sum("_n").over(across).alias("box_n"), F.sum("_s").over(across).alias("box_sum"), F.min("_l").over(across).alias("box_min"), F.max("_h").over(across).alias("box_max"))
+    return at_home(both, "r").where("_own").drop("_own")
 
 
 def footprint(cells: DataFrame, width: int, height: int, value: str = "z") -> DataFrame:

@@ -76,7 +76,7 @@ def shards_meeting(spark: SparkSession, path: str, rmin: int, rmax: int, cmin: i
 
 
 #: A placed part: class, east, north, height, turn.
-PART = struct.Struct("<Iffff")
+PART = "<Iffff"
 
 
 def placed(spark: SparkSession, path: str) -> DataFrame:
@@ -87,10 +87,10 @@ def placed(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for file, data in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
                 count = int.from_bytes(data[:4], "little")
-                if len(data) != 4 + count * PART.size:
+                if len(data) != 4 + count * struct.calcsize(PART):
                     raise Refusal("placed parts cut short", len(data), [file])
                 if count:
-                    ids, x, y, z, yaw = (np.array(v) for v in zip(*PART.iter_unpack(data[4:]), strict=True))
+                    ids, x, y, z, yaw = (np.array(v) for v in zip(*struct.iter_unpack(PART, data[4:]), strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array([file] * count), pa.array(ids.astype(np.int64)), pa.array(x / 100), pa.array(-y / 100 + 0.0), pa.array(z / 100), pa.array(yaw)], names=["path", "class_id", "east", "north", "elevation", "yaw"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, class_id long, east double, north double, elevation double, yaw double")
