@@ -77,7 +77,7 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
 def resolved_anchors(spark: SparkSession, sf: str) -> DataFrame:
     """A cell for each anchor: primary ones near by first, then any, then none."""
     at = _points(spark, sf)
-    return ground.anchored(at.where("item = 0"), at.where("item <> 0"), 80.0, 25.0).select("id", "cell", F.round("dist", 4).alias("dist"), "tier")
+    return ground.anchored(at.where("item = 0"), at.where("item <> 0"), 80.0, 25.0)
 
 
 def endpoint_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,7 +220,7 @@ SELECT *, CASE WHEN greatest(h, w) >= 4 AND least(h, w) >= 3 THEN 'large' WHEN g
 SELECT user_id, (n - i)::INT AS step, node, coalesce(nxt, 0.0) AS length, sum(coalesce(nxt, 0.0)) OVER (PARTITION BY user_id ORDER BY i DESC) AS total FROM f""",
     "resolved_anchors": sql("socket", """k AS (SELECT a.id, b.id AS cell, b.purity = 2 AS p, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS dist FROM socket a JOIN socket b ON a.item = 0 AND b.item <> 0 AND abs(a.x - b.x) <= 80 AND abs(a.y - b.y) <= 80),
 t AS (SELECT *, CASE WHEN p AND dist <= 25 THEN 0 WHEN p THEN 1 ELSE 2 END AS tier FROM k WHERE dist <= 80), f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, round(dist, 6), cell) = 1)
-SELECT s.id, cell, round(dist, 4) AS dist, tier FROM socket s LEFT JOIN f USING (id) WHERE item = 0"""),
+SELECT s.id, cell, round(dist, 6) AS dist, tier FROM socket s LEFT JOIN f USING (id) WHERE item = 0"""),
     "endpoint_candidates": sql("socket", """k AS (SELECT a.id AS anchor, b.id AS cell, b.item AS component, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS dist FROM socket a JOIN socket b ON a.item = 1 AND a.id <> b.id AND abs(a.x - b.x) <= 60 AND abs(a.y - b.y) <= 60 WHERE b.item <> 2)
 SELECT anchor, cell, component, round(dist, 4) AS dist, row_number() OVER (PARTITION BY anchor ORDER BY round(dist, 6), cell)::INT AS rank FROM k WHERE dist <= 60"""),
     "region_crossings": sql("terrain", _STEPS + ", l AS (SELECT ar // 10 || ':' || ak AS x, br // 10 || ':' || bk AS y, grade FROM e) SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n, round(min(grade), 7) AS least, round(avg(grade), 7) AS mean FROM l WHERE x <> y GROUP BY 1, 2"),
