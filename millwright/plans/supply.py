@@ -81,19 +81,21 @@ def unlock_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def packing_recipes(spark: SparkSession, sf: str) -> DataFrame:
-    """recipe, direction, item: every liquid is packed into an item of its own, and most are
-    unpacked again."""
+    """kind, recipe, direction, item, packed: every liquid is packed into an item of its own, and most
+    are unpacked again. Numbers are told apart by kind and packed, not by how large they are."""
     liquid = d.items(spark, sf).where("form = 'liquid'").select("item")
-    two = lambda rows, base, a, b: rows.select((F.col("item") + base).alias("recipe"), F.explode(F.array(F.struct(F.lit("input").alias("direction"), a.alias("item")), F.struct(F.lit("output").alias("direction"), b.alias("item")))).alias("e")).select("recipe", "e.*")
-    item, packed = F.col("item"), F.col("item") + 2000000
-    return two(liquid, 2000000, item, packed).unionByName(two(liquid.where("item % 4 <> 0"), 3000000, packed, item))
+    side = lambda direction, packed: F.struct(F.lit(direction).alias("direction"), (F.col("item") + 2000000 * int(packed)).alias("item"), F.lit(packed).alias("packed"))
+    two = lambda rows, kind, base, *sides: rows.select(F.lit(kind).alias("kind"), (F.col("item") + base).alias("recipe"), F.explode(F.array(*sides)).alias("e")).select("kind", "recipe", "e.*")
+    pack = two(liquid, "pack", 2000000, side("input", False), side("output", True))
+    return pack.unionByName(two(liquid.where("item % 4 <> 0"), "unpack", 3000000, side("input", True), side("output", False)))
 
 
 def inverse_recipes(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of recipes that undo each other: what one takes the other makes, and back."""
-    rows = d.recipe_io(spark, sf).select(F.col("parent").alias("recipe"), F.lit("input").alias("direction"), F.col("child").alias("item")).unionByName(d.recipe_io(spark, sf).select(F.col("parent").alias("recipe"), F.lit("output").alias("direction"), F.col("parent").alias("item"))).unionByName(packing_recipes(spark, sf))
-    side = lambda k: F.array_sort(F.collect_set(F.when(F.col("direction") == k, F.col("item")))).alias(k)
-    signed = rows.groupBy("recipe").agg(side("input"), side("output"))
+    own = lambda direction, item: d.recipe_io(spark, sf).select(F.lit("make").alias("kind"), F.col("parent").alias("recipe"), F.lit(direction).alias("direction"), F.col(item).alias("item"), F.lit(False).alias("packed"))
+    rows = own("input", "child").unionByName(own("output", "parent")).unionByName(packing_recipes(spark, sf))
+    side = lambda k: F.array_sort(F.collect_set(F.when(F.col("direction") == k, F.struct("item", "packed")))).alias(k)
+    signed = rows.groupBy("kind", "recipe").agg(side("input"), side("output"))
     other = signed.select(F.col("recipe").alias("back"), F.col("output").alias("input"), F.col("input").alias("output"))
     return signed.join(other, ["input", "output"]).where("recipe < back").select("recipe", "back")
 
