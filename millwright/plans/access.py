@@ -118,9 +118,9 @@ def invalidating_unlocks(spark: SparkSession, sf: str) -> DataFrame:
 
 def phase_producers(spark: SparkSession, sf: str) -> DataFrame:
     """Each delivered item with the recipes that make it, their status and what unlocks them."""
-    made = d.edges(spark, sf).select(F.col("parent").alias("item"), F.col("parent").alias("recipe")).distinct().unionByName(d.alternates(spark, sf).select(F.col("parent").alias("item"), (F.col("parent") + 1000000).alias("recipe")))
-    flags = d.schematics(spark, sf).select(F.col("recipe").alias("base"), "tier", "kind")
-    rows = made.withColumn("base", F.col("recipe") % 1000000).join(flags, "base")
+    made = d.edges(spark, sf).select(F.col("parent").alias("item"), F.col("parent").alias("recipe")).distinct().unionByName(d.alternates(spark, sf).select(F.col("parent").alias("item"), (F.col("parent") + 1000000).alias("recipe")))  # both are unlocked with their item
+    flags = d.schematics(spark, sf).select(F.col("recipe").alias("item"), "tier", "kind")
+    rows = made.join(flags, "item")
     text = F.concat_ws(":", F.col("recipe").cast("string"), F.when(F.col("tier") <= TIER, "held").otherwise("later"), F.col("kind"))
     own = rows.withColumn("text", text).groupBy("item").agg(F.array_sort(F.collect_list(F.struct("recipe", "text"))).alias("all"))
     due = d.deliveries(spark, sf).where("phase = 1").select("item")
