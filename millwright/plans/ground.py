@@ -158,7 +158,7 @@ def painted_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 def zone_seeds(spark: SparkSession, sf: str) -> DataFrame:
     """The highest cell of each key in a disc around a hub, and the disc's own least and most."""
-    cells = d.terrain(spark, sf).where("(r - 40) * (r - 40) + (c - 50) * (c - 50) <= 900")
+    cells = d.terrain(spark, sf).where("(r - 40L) * (r - 40) + (c - 50) * (c - 50) <= 900")  # on longs, as rows are many
     seed = cells.groupBy((F.floor(F.col("r") / 8) * 20 + F.floor(F.col("c") / 8)).cast("long").alias("key")).agg(F.max(F.struct(F.round("z", 6).alias("z"), (-F.col("id")).alias("no"))).alias("m"), F.count("*").alias("n"))
     return seed.select("key", (-F.col("m.no")).alias("seed"), F.col("m.z").alias("z"), "n")
 
