@@ -2,7 +2,7 @@
 
 A plan's matrix is made by joins (recipe inputs and outputs as signed coefficients) and solved
 inside `applyInArrow`, one small dense problem a group; many scenarios are many groups. The
-solver is a two-phase primal simplex with Bland's rule over bounded variables in standard form,
+solver is a two-phase primal simplex with a raised right side against cycling, in standard form,
 and stages are lexicographic: each stage's optimum is pinned within a relative 1e-9 before the
 next one starts. Infeasible and unbounded problems are named results, not failures.
 """
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOL = 1e-9
+#: Pivots after which a tableau is made anew.
+FRESH = 40
 
 
 def simplex(c: np.ndarray, a_ub: np.ndarray, b_ub: np.ndarray, a_eq: np.ndarray, b_eq: np.ndarray) -> tuple[str, np.ndarray, float]:
@@ -67,20 +69,41 @@ def _pivot(t: np.ndarray, basis: np.ndarray, r: int, at: int) -> None:
 
 
 def _pivoted(t: np.ndarray, basis: np.ndarray, cols: int) -> bool:
-    """Pivots until no cost is negative; False if the objective has no bound."""
-    scale = 1e-9 * max(1.0, np.abs(t).max(initial=0.0))
-    for step in range(50_000):
-        cost = t[-1, :cols]
-        eligible = np.flatnonzero(cost < -min(scale, 1e-7))
-        if not len(eligible):
+    """Pivots until no cost is negative; False if the objective has no bound.
+
+    Most caps are zero, so many rows tie and pivots need not lower the cost. Rows to leave are
+    therefore chosen by a second right side, each row of which is raised by another tiny amount. In
+    the end it is dropped, and rows that the true right side leaves negative are mended by dual
+    pivots, which keep the costs. Every `FRESH` pivots the tableau is made anew from the first one,
+    as rounding errors of pivots add up."""
+    raised = np.append(np.maximum(t[:-1, -1], 0.0) + 1e-8 * (1 + np.random.default_rng(0).random(len(basis))), 0.0)
+    first = np.hstack([t, raised[:, None]])
+    wide, settled, least = first.copy(), False, 1e-9
+    for step in range(1, 50_000):
+        if step % FRESH == 0 or settled:
+            wide[:-1] = np.linalg.solve(first[:-1, basis], first[:-1])
+            wide[-1] = first[-1] - first[-1, basis] @ wide[:-1]
+        at = int(np.argmin(wide[-1, :cols]))
+        if not settled and wide[-1, at] >= -least:
+            settled = True
+            continue
+        if not settled:
+            up = np.flatnonzero(wide[:-1, at] > 1e-8)
+            if not len(up):
+                t[:] = wide[:, :-1]
+                return False
+            ratio = np.maximum(wide[up, -1], 0.0) / wide[up, at]
+            best = up[ratio <= ratio.min() + 1e-13]
+            _pivot(wide, basis, best[np.argmax(wide[best, at])], at)
+            continue
+        r = int(np.argmin(wide[:-1, -2]))
+        down = np.flatnonzero(wide[r, :cols] < -1e-8)
+        if wide[r, -2] >= -1e-10 or not len(down):
+            t[:] = wide[:, :-1]
             return True
-        at = eligible[np.argmin(cost[eligible])] if step < 2_000 else eligible[0]  # Bland's rule ends cycling
-        up = np.flatnonzero(t[:-1, at] > TOL)
-        if not len(up):
-            return False
-        ratio = t[up, -1] / t[up, at]
-        best = up[ratio <= ratio.min() + 1e-12]
-        _pivot(t, basis, best[np.argmin(basis[best])], at)
+        ratio = np.maximum(wide[-1, down], 0.0) / -wide[r, down]
+        best = down[ratio <= ratio.min() + 1e-13]
+        _pivot(wide, basis, r, best[np.argmin(wide[r, best])])
     raise ArithmeticError("the simplex did not settle")
 
 
