@@ -123,11 +123,12 @@ def links(prints: DataFrame, crowd: int = 128) -> DataFrame:
     for the others enough of them to connect the same fingerprints."""
     keyed = prints.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp")
     crowded = staged(keyed.groupBy("key").count().where(F.col("count") > crowd).select(F.col("key").alias("full")), "simhash-crowded")
-    few = keyed.join(crowded, F.col("key") == F.col("full"), "left_anti")
-    x, y = few.select("key", F.col("fp").alias("a")), few.select(F.col("key").alias("other"), F.col("fp").alias("b"))
+    few = keyed.join(_sent(crowded), F.col("key") == F.col("full"), "left_anti")
+    # Exploded rows have the size of what they came from in the optimiser's estimate.
+    x, y = few.select("key", F.col("fp").alias("a")), few.select(F.col("key").alias("other"), F.col("fp").alias("b")).hint("merge")
     diff = F.col("a").bitwiseXOR(F.col("b"))
     pairs = x.join(y, (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & (F.bit_count(diff) <= LIMIT) & (_first_key(diff) == F.shiftright("key", 22))).select("a", "b")
-    many = keyed.join(crowded, F.col("key") == F.col("full"), "left_semi").select("fp").distinct()
+    many = keyed.join(_sent(crowded), F.col("key") == F.col("full"), "left_semi").select("fp").distinct()
     return pairs.unionByName(_crowd_links(staged(many, "simhash-crowd")))
 
 
@@ -168,9 +169,9 @@ def stars(edges: DataFrame) -> DataFrame:
 def components(prints: DataFrame) -> DataFrame:
     """`prints` (fp, first) with the smallest `first` of each component as `component`."""
     linked = staged(stars(links(prints.select("fp"))), "simhash-roots")
-    member = prints.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    member = prints.join(linked.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     member = staged(member, "simhash-members")
-    return member.join(member.groupBy("root").agg(F.min("first").alias("component")), "root").select("fp", "component")
+    return member.join(member.groupBy("root").agg(F.min("first").alias("component")).hint("merge"), "root").select("fp", "component")
 
 
 def grouped(docs: DataFrame, text: str = "text", size: int = 4) -> DataFrame:
@@ -181,7 +182,7 @@ def grouped(docs: DataFrame, text: str = "text", size: int = 4) -> DataFrame:
     # Structs order by doc_id, nulls first; a null doc_id must not stand for a component.
     ident = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("digest"))
     prints = staged(own.groupBy("fp").agg(F.min(ident).alias("first")), "simhash-distinct")
-    return own.join(components(prints), "fp").select("doc_id", "digest", "fp", "component")
+    return own.join(components(prints).hint("merge"), "fp").select("doc_id", "digest", "fp", "component")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", size: int = 4) -> DataFrame:
@@ -248,8 +249,8 @@ def folded(maps: np.ndarray) -> np.ndarray:
 
 
 def _sent(rows: DataFrame) -> DataFrame:
-    """A narrow staged table, to be broadcast if it has at most `SMALL` rows."""
-    return F.broadcast(rows) if rows.count() <= SMALL else rows
+    """A narrow staged table, to be broadcast if it has at most `SMALL` rows, and else not at all."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows.hint("merge")
 
 
 def _likely(x: dict[str, Column], y: dict[str, Column], similarity: float, mapped: bool = True) -> Column:
@@ -341,7 +342,7 @@ def similar(docs: DataFrame, text: str = "text", size: int = 5, similarity: floa
     rare, key = exploded(F.slice("keys", 1, F.col("cold")), F.lit(0)), Window.partitionBy("key")
     rare = rare.select("*", F.count("*").over(key).alias("many"), *(h.over(key).alias(k) for k, h in heads.items()))
     often = exploded(F.slice("keys", F.col("cold") + 1, F.size("keys")), F.col("cold"))
-    often = often.join(often.groupBy("key").agg(F.count("*").alias("many"), *(h.alias(k) for k, h in heads.items())), "key").select(rare.columns)
+    often = often.join(often.groupBy("key").agg(F.count("*").alias("many"), *(h.alias(k) for k, h in heads.items())).hint("merge"), "key").select(rare.columns)
     near = lambda k: F.when((F.col(f"{k}.digest") != F.col("digest")) & _likely({c: F.col(c) for c in ("n", "pos")}, {c: F.col(f"{k}.{c}") for c in ("n", "pos")}, similarity, False), F.col(f"{k}.digest")).alias(k)
     met = staged(rare.unionByName(often).where("many > 1").select("key", "digest", "n", "pos", *map(near, heads)), "similar-met", instead_of=once)
 
