@@ -7,10 +7,15 @@ wide; regions run in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Nodes whose edges are walked at once, which bounds the memory of a large region.
+NODES = 1 << 16
+
 
 def clearance(open_cells: np.ndarray) -> np.ndarray:
     """Exact distance of every open cell to the nearest closed one (cells beyond the rim are
@@ -53,53 +58,107 @@ def thinned(open_cells: np.ndarray) -> np.ndarray:
             return m.astype(bool)
 
 
+def _walked(a: np.ndarray, step: np.ndarray, ahead: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells, edge, size) of the walks from nodes `a` by their neighbours `step`, all at once: the
+    cells of each in turn and how many they are. A walk that another one takes from its other end is
+    kept once, as the one whose start and step come first. `ahead` has the sum of a cell's two
+    neighbours, so less the one before it is the one after."""
+    ids, before, now = np.arange(len(a)), a.copy(), step.copy()
+    end, last = step.copy(), a.copy()
+    cells, owner = [a, step], [ids, ids]
+    while len(ids := ids[on := ~node[now]]):
+        now, before = ahead[now[on]] - before[on], now[on]
+        end[ids], last[ids] = now, before
+        cells.append(now)
+        owner.append(ids)
+    kept = (a < end) | (a == end) & (step < last)
+    number = np.cumsum(kept) - 1
+    cells, owner = np.concatenate(cells), np.concatenate(owner)
+    cells, owner = cells[kept[owner]], number[owner[kept[owner]]]
+    order = np.argsort(owner, kind="stable")
+    return cells[order], owner[order], np.bincount(owner, minlength=int(kept.sum()))
+
+
+def _runs(line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The edges of a centre line as `_walked` gives them, by node and step and rings last; cells
+    are numbered by row in the line with a rim of one."""
+    flat, width = np.pad(line, 1).ravel(), line.shape[1] + 2
+    offsets = np.array([-width - 1, -width, -width + 1, -1, 1, width - 1, width, width + 1])
+    at = np.flatnonzero(flat)
+    count, ahead = np.zeros(len(at), np.int8), np.zeros(len(flat), np.int64)
+    for o in offsets:
+        beside = flat[at + o]
+        count += beside
+        ahead[at] += np.where(beside, at + o, 0)
+    node = np.zeros(len(flat), bool)
+    node[at[count != 2]] = True
+    left = flat & ~node
+    nodes = np.flatnonzero(node)
+    for k in range(0, len(nodes), NODES):
+        i, j = np.nonzero(flat[nodes[k : k + NODES, None] + offsets])
+        a = nodes[k : k + NODES][i]
+        step = a + offsets[j]
+        first = ~node[step] | (a < step)
+        out = _walked(a[first], step[first], ahead, node)
+        left[out[0]] = False
+        yield out
+    rings = []
+    for a in np.flatnonzero(left):  # rings without a node start at their first cell
+        if left[a]:
+            node[a] = True
+            before, now = a, a + next(o for o in offsets if flat[a + o])
+            rings.append((a, now))
+            while now != a:
+                left[now] = False
+                before, now = now, ahead[now] - before
+    if rings:
+        yield _walked(*np.array(rings).T, ahead, node)
+
+
 def traced(line: np.ndarray) -> tuple[list[tuple[int, int]], list[list[tuple[int, int]]]]:
     """(nodes, edges) of a centre line: nodes are cells with other than two neighbours (of a
     bare ring its first cell), an edge is the run of cells from node to node."""
-    cells = {(int(r), int(c)) for r, c in np.argwhere(line)}
-    near = lambda a: [(a[0] + dr, a[1] + dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr or dc) and (a[0] + dr, a[1] + dc) in cells]
-    nodes = {a for a in cells if len(near(a)) != 2}
-    edges, used = [], set()
-
-    def walk(start: tuple[int, int]) -> None:
-        for step in sorted(near(start)):
-            if (start, step) in used:
-                continue
-            path = [start, step]
-            while path[-1] not in nodes:
-                onward = [x for x in near(path[-1]) if x != path[-2]]
-                path.append(min(onward))
-                if len(path) > len(cells) + 1:
-                    break
-            used.update({(path[0], path[1]), (path[-1], path[-2])})
-            edges.append(path)
-
-    for a in sorted(nodes):
-        walk(a)
-    seen = {c for e in edges for c in e} | nodes
-    for a in sorted(cells - seen):  # rings without a node
-        if a not in seen:
-            nodes.add(a)
-            walk(a)
-            seen |= {c for c in edges[-1]}
-    return sorted(nodes), edges
+    width = line.shape[1] + 2
+    place = lambda cells: [(int(r) - 1, int(c) - 1) for r, c in zip(*np.divmod(cells, width), strict=True)]
+    edges = [place(run) for cells, _, size in _runs(line) for run in np.split(cells, np.cumsum(size))[:-1]]
+    nodes = {(int(r), int(c)) for r, c in np.argwhere(line & (sum(x.astype(int) for x in _ring(line)) != 2))}
+    return sorted(nodes | {e[0] for e in edges}), edges
+
+
+def _measured(line: np.ndarray, wide: np.ndarray) -> Iterator[pd.DataFrame]:
+    """edge, r0, c0, r1, c1, length, narrowest, median of the edges of a centre line in cells, part
+    by part."""
+    width, done = line.shape[1] + 2, 0
+    wide = np.pad(wide, 1).ravel()
+    for cells, edge, size in _runs(line):
+        end = np.cumsum(size)
+        start, middle = end - size, (size - 1) // 2
+        ends = [x - 1 for k in (start, end - 1) for x in np.divmod(cells[k], width)]
+        slant = (edge[1:] == edge[:-1]) & ~np.isin(np.abs(np.diff(cells)), (1, width))
+        slants = np.bincount(edge[1:][slant], minlength=len(size))
+        own = wide[cells]
+        own = own[np.lexsort((own, edge))]
+        columns = [np.arange(done, done + len(size)), *ends, size - 1 - slants + slants * np.sqrt(2), own[start], (own[start + middle] + own[start + size // 2]) / 2]
+        yield pd.DataFrame(dict(zip(("edge", "r0", "c0", "r1", "c1", "length", "narrowest", "median"), columns, strict=True)))
+        done += len(size)
 
 
 def corridor_edges(cells: DataFrame, by: str, step: float = 1.0) -> DataFrame:
     """(by, edge, r0, c0, r1, c1, length, narrowest, median) for the corridors of each region's
     open cells (by, r, c); clearances and lengths in units of `step` cells."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = rows["r"].min(), rows["c"].min()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([b[[by, "r", "c"]] for b in batches])
+        key, r0, c0 = rows[by].iloc[0], rows["r"].min(), rows["c"].min()
         m = np.zeros((rows["r"].max() - r0 + 1, rows["c"].max() - c0 + 1), bool)
         m[rows["r"] - r0, rows["c"] - c0] = True
-        wide = clearance(m) * step
-        out = []
-        for k, path in enumerate(traced(thinned(m))[1]):
-            p = np.array(path)
-            own = wide[p[:, 0], p[:, 1]]
-            length = np.hypot(*np.diff(p, axis=0).T).sum() * step
-            out.append((rows[by].iloc[0], k, p[0, 0] + r0, p[0, 1] + c0, p[-1, 0] + r0, p[-1, 1] + c0, length, own.min(), np.median(own)))
-        return pd.DataFrame(out, columns=[by, "edge", "r0", "c0", "r1", "c1", "length", "narrowest", "median"])
+        del rows
+        for out in _measured(thinned(m), clearance(m)):
+            for k, shift in (("r0", r0), ("c0", c0), ("r1", r0), ("c1", c0)):
+                out[k] += shift
+            for k in ("length", "narrowest", "median"):
+                out[k] *= step
+            out.insert(0, by, key)
+            yield out
 
     return cells.groupBy(by).applyInPandas(run, f"{by} {dict(cells.dtypes)[by]}, edge long, r0 long, c0 long, r1 long, c1 long, length double, narrowest double, median double")

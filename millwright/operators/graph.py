@@ -31,7 +31,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = staged(both, "component-edges")
     now = staged(nodes.select("id", F.col("id").alias("component")), "components")
     while True:
-        near = both.join(now.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
+        near = both.join(now.select(F.col("id").alias("b"), "component").hint("merge"), "b").groupBy("a").agg(F.min("component").alias("m"))
         hooked = now.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("p"), "component")
         hooked = staged(hooked, "components", instead_of=now)
         roots = hooked.groupBy(F.col("component").alias("p0")).agg(F.min("p").alias("best"))  # a label hooks as a whole

@@ -93,7 +93,7 @@ def corridor_graph(spark: SparkSession, sf: str) -> DataFrame:
     """Centre lines of open ground as edges with length and clearance, regions of 30 cells on."""
     cells = d.terrain(spark, sf).where("z < 90")
     label = graph.components(cells.select("id"), spatial.cell_edges(cells.select("id", "r", "c")))
-    rows = cells.join(label, "id").select(F.col("component").alias("region"), "r", "c")
+    rows = cells.join(label.hint("merge"), "id").select(F.col("component").alias("region"), "r", "c")  # a row a cell, however well both compress
     big = rows.groupBy("region").count().where("count >= 30").select("region")
     out = corridors.corridor_edges(rows.join(big, "region"), "region")
     return out.select("region", "edge", "r0", "c0", "r1", "c1", *(F.round(k, 4).alias(k) for k in ("length", "narrowest", "median")))
