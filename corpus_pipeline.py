@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 0.8 of their five-word shingles, found by
-    an exact search: the one with the smallest doc_id."""
+    """One document of each group of texts whose SimHash fingerprints link or that share 0.8 of
+    their five-word shingles, found by an exact search: the one with the smallest doc_id."""
     small_batches(spark)
     return simhash.deduplicate(docs)
 

@@ -17,8 +17,9 @@ Groups are kept small by construction:
   that meet at a value are linked to the smallest there. Two fingerprints meet at a common
   value if and only if they differ by at most four bits.
 
-The query's fingerprints are over four-word shingles. `deduplicate` instead takes texts that share
-0.8 of their five-word shingles, found without fingerprints by an exact search (see `similar`).
+The query's fingerprints are over four-word shingles. `deduplicate` starts from the same components
+and joins to them texts that share 0.8 of their five-word shingles, of which fingerprints miss some,
+by an exact search (see `similar`).
 
 Links are then labelled with the smallest doc_id by rounds of hooking and shortcutting in
 tables, never on the driver.
@@ -296,10 +297,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, units: DataFrame, fl
     return staged(links, "similar-links", instead_of=sets)
 
 
-def similar(docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar(docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8, linked: DataFrame | None = None) -> DataFrame:
     """doc_id, digest (of the text) and component (doc_id and digest of the smallest document
     reachable) of every row of `docs`, over all links between texts that share `similarity` of
-    their `size`-word shingles.
+    their `size`-word shingles, and over those in `linked` (a, b: digests of texts), if given.
 
     The search is exact. Texts are indexed under their rarest shingles (`prefix`), under which
     every two similar texts meet. First each text is compared with the heads of its keys: the text
@@ -349,6 +350,8 @@ def similar(docs: DataFrame, text: str = "text", size: int = 5, similarity: floa
     asked = met.select(F.col("digest").alias("x"), F.explode(F.array(*(F.struct(F.lit(i).alias("turn"), F.col(k).alias("y")) for i, k in enumerate(heads)))).alias("e")).select("x", "e.*").where("y IS NOT NULL")
     best = asked.groupBy("x", "turn", "y").count().groupBy("x", "turn").agg(F.max(F.struct("count", "y"))["y"].alias("y")).select("x", "y").distinct()
     found = _verified(best, docs, text, units, flat, size, similarity)
+    if linked is not None:
+        found = found.unionByName(linked)
     roots = staged(stars(found), "similar-roots")
 
     label = met.select("key", "digest", "n", "pos").join(roots, F.col("digest") == F.col("node"), "left").select("key", "digest", "n", "pos", F.coalesce("root", "digest").alias("label"))
@@ -368,9 +371,14 @@ def similar(docs: DataFrame, text: str = "text", size: int = 5, similarity: floa
 
 
 def deduplicate(docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each component of `similar`, the one with the smallest doc_id; columns as in
-    `docs`."""
-    rows = staged(similar(docs, text, size, similarity), "simhash-groups")
+    """One row of each component of near-duplicates, the one with the smallest doc_id; columns as
+    in `docs`.
+
+    Texts of one component of `near_duplicates` are near-duplicates; those that `similar` finds
+    beside are too, as fingerprints miss some of them."""
+    prints = grouped(docs, text).select("digest", F.col("component.digest").alias("root")).where("digest <> root")
+    linked = staged(prints.select(F.col("digest").alias("a"), F.col("root").alias("b")).distinct(), "simhash-linked")
+    rows = staged(similar(docs, text, size, similarity, linked), "simhash-groups")
     first = F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("digest") == F.col("component.digest"))
     gone = staged(rows.where(~first).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct(), "simhash-gone")
     digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
